@@ -1,28 +1,43 @@
 """Exact ranks and running sums whose groups may hold any share of the rows.
 
-A plain window sends one whole group to one task. Here every group is first cut
-into ordered buckets: bucket totals (small) give the offsets, and a window inside
-one bucket gives the rest. No rows are dropped and ties are broken by the order
-the caller states.
+A window sends one whole group to one task, which is right for groups of ordinary
+size. Groups above a size limit are found first (never more than ``MAX_HOT`` of
+them); only their rows are cut into ordered buckets. Bucket totals give the offsets
+and a window inside one bucket gives the rest. Nothing is dropped, and ties are
+broken by the order the caller states, so both ways give the same numbers.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut
 from .hashing import md5_key
 
+# A group is large above this many rows, or above its share of MAX_HOT-th of the table.
+HOT_ROWS = 500_000
+MAX_HOT = 100_000
 
-def split_points(df: DataFrame, col: str, n: int = 32) -> list:
-    """At most ``n`` distinct quantiles of ``col``; one bounded row reaches the driver."""
+BucketMaker = Callable[[DataFrame], list[Column]]
+
+
+def split_points(df: DataFrame, col: str, n: int = 64) -> list:
+    """At most ``n`` distinct numeric quantiles of ``col``; one bounded row reaches the driver."""
     probs = [i / (n + 1) for i in range(1, n + 1)]
     row = df.agg(F.percentile_approx(col, probs, 10000).alias("q")).first()
     return sorted(set(row["q"] or []))
 
 
+def text_split_points(df: DataFrame, col: str, n: int = 64) -> list:
+    """Quantiles of a text column from the ``32 n`` values of smallest hash."""
+    sample = df.select(col).where(F.col(col).isNotNull()).orderBy(F.xxhash64(col), col).limit(32 * n).collect()
+    values = sorted({r[0] for r in sample})
+    return values[:: max(1, len(values) // n)]
+
+
 def value_bucket(value: Column, splits: Sequence) -> Column:
     """Bucket number that never decreases with ``value``.
 
@@ -41,82 +56,121 @@ def value_bucket(value: Column, splits: Sequence) -> Column:
     return node(0, len(splits))
 
 
-def _offsets(totals: DataFrame, by: list[str], bucket_order: list[Column], value: str, out: str) -> DataFrame:
-    before = (
-        Window.partitionBy(*(by or [F.lit(0)])).orderBy(*bucket_order).rowsBetween(Window.unboundedPreceding, -1)
-    )
-    return totals.withColumn(out, F.coalesce(F.sum(value).over(before), F.lit(0)))
-
-
-def _attach(df: DataFrame, side: DataFrame, keys: list[str]) -> DataFrame:
+def _attach(df: DataFrame, side: DataFrame, keys: Sequence[str], how: str = "left") -> DataFrame:
     """Null-safe equi-join on ``keys`` keeping one copy of them."""
     renamed = side.select(*[F.col(k).alias(f"_k_{k}") for k in keys], *[c for c in side.columns if c not in keys])
-    cond = None
-    for k in keys:
+    cond = F.lit(True)
+    for i, k in enumerate(keys):
         term = F.col(k).eqNullSafe(F.col(f"_k_{k}"))
-        cond = term if cond is None else cond & term
-    return df.join(renamed, cond).drop(*[f"_k_{k}" for k in keys])
+        cond = term if i == 0 else cond & term
+    return df.join(renamed, cond, how).drop(*[f"_k_{k}" for k in keys])
+
+
+def _mark_hot(df: DataFrame, by: list[str]) -> DataFrame | None:
+    """``df`` with ``_hot``, or None when every group is of ordinary size."""
+    total = df.count()
+    limit = max(HOT_ROWS, total // MAX_HOT)
+    if total <= limit:
+        return None
+    if not by:
+        return df.withColumn("_hot", F.lit(True))
+    sizes = df.groupBy(*by).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > limit)
+    hot = cut(sizes.select(*by, F.lit(True).alias("_hot")), "hot")
+    if hot.isEmpty():
+        return None
+    # fewer than MAX_HOT groups can be above the limit, so this side is bounded
+    return _attach(df, F.broadcast(hot), by).withColumn("_hot", F.coalesce("_hot", F.lit(False)))
+
+
+def _bucketed(marked: DataFrame, by: list[str], buckets: BucketMaker, value: Column) -> tuple[DataFrame, list[str]]:
+    """Rows with bucket columns (null outside large groups) and ``_boff``, the sum before the bucket."""
+    made = buckets(marked.where("_hot"))
+    names = [f"_b{i}" for i in range(len(made))]
+    keyed = marked.withColumns({n: F.when(F.col("_hot"), b) for n, b in zip(names, made)})
+    totals = keyed.where("_hot").groupBy(*by, *names).agg(F.sum(value).alias("_bsum"))
+    before = (
+        Window.partitionBy(*(by or [F.lit(0)])).orderBy(*names).rowsBetween(Window.unboundedPreceding, -1)
+    )
+    offsets = totals.withColumn("_boff", F.coalesce(F.sum("_bsum").over(before), F.lit(0))).drop("_bsum")
+    keys = by + names
+    return _attach(keyed, offsets, keys).withColumn("_boff", F.coalesce("_boff", F.lit(0))), keys
 
 
 def bucketed_prefix_sum(
-    df: DataFrame, value: str, out: str, *, by: Sequence[str], buckets: Sequence[str], order: Sequence[Column]
+    df: DataFrame, value: str, out: str, *, by: Sequence[str], buckets: BucketMaker, order: Sequence[Column]
 ) -> DataFrame:
-    """Exclusive running sum of ``value`` in ``order``; ``buckets`` must ascend with it."""
-    by, buckets = list(by), list(buckets)
-    totals = df.groupBy(*by, *buckets).agg(F.sum(value).alias("_bsum"))
-    offs = _offsets(totals, by, [F.col(b) for b in buckets], "_bsum", "_boff").drop("_bsum")
-    inside = Window.partitionBy(*by, *buckets).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    return (
-        _attach(df, offs, by + buckets)
-        .withColumn(out, F.col("_boff") + F.coalesce(F.sum(value).over(inside), F.lit(0)))
-        .drop("_boff")
-    )
+    """Exclusive running sum of ``value`` in ``order`` inside ``by``.
+
+    ``buckets`` returns columns that ascend with ``order``; it is asked only when a
+    large group exists.
+    """
+    by = list(by)
+    marked = _mark_hot(df, by)
+
+    def inside(keys):
+        w = Window.partitionBy(*(keys or [F.lit(0)])).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+        return F.coalesce(F.sum(value).over(w), F.lit(0))
+
+    if marked is None:
+        return df.withColumn(out, inside(by))
+    rows, keys = _bucketed(marked, by, buckets, F.col(value))
+    return rows.withColumn(out, F.col("_boff") + inside(keys)).select(*df.columns, out)
 
 
 def bucketed_row_number(
-    df: DataFrame, out: str, *, by: Sequence[str], buckets: Sequence[str], order: Sequence[Column], at_most: str | None = None
+    df: DataFrame,
+    out: str,
+    *,
+    by: Sequence[str],
+    buckets: BucketMaker,
+    order: Sequence[Column],
+    at_most: str | None = None,
 ) -> DataFrame:
-    """Row number from 1 inside ``by``; ``buckets`` must ascend with ``order``.
+    """Row number from 1 inside ``by``; ``buckets`` as in ``bucketed_prefix_sum``.
 
-    ``at_most`` names a column with a per-row limit: rows ranked beyond it are
-    left out, and buckets that start beyond it never reach the sort.
+    ``at_most`` names a column with a per-row limit: rows ranked beyond it are left
+    out, and buckets that start beyond it never reach the sort.
     """
-    by, buckets = list(by), list(buckets)
-    totals = df.groupBy(*by, *buckets).agg(F.count(F.lit(1)).alias("_bsum"))
-    offs = _offsets(totals, by, [F.col(b) for b in buckets], "_bsum", "_boff").drop("_bsum")
-    inside = Window.partitionBy(*by, *buckets).orderBy(*order)
-    joined = _attach(df, offs, by + buckets)
-    if at_most:
-        joined = joined.where(F.col("_boff") < F.col(at_most))
-    ranked = joined.withColumn(out, (F.col("_boff") + F.row_number().over(inside)).cast("bigint")).drop("_boff")
+    by = list(by)
+    marked = _mark_hot(df, by)
+
+    def inside(keys):
+        return F.row_number().over(Window.partitionBy(*(keys or [F.lit(0)])).orderBy(*order)).cast("bigint")
+
+    if marked is None:
+        ranked = df.withColumn(out, inside(by))
+    else:
+        rows, keys = _bucketed(marked, by, buckets, F.lit(1))
+        if at_most:
+            rows = rows.where(F.col("_boff") < F.col(at_most))
+        ranked = rows.withColumn(out, F.col("_boff") + inside(keys)).select(*df.columns, out)
     return ranked.where(F.col(out) <= F.col(at_most)) if at_most else ranked
 
 
 def hash_order(df: DataFrame, ids: Sequence[str], seed: int, out: str, by: Sequence[str] = ()) -> DataFrame:
     """Random permutation: number rows by the md5 of ``ids`` and ``seed``, then by ``ids``.
 
-    The first two hex digits of the digest are the buckets, so 256 even shares.
+    The first three hex digits of the digest make 4096 even buckets.
     """
-    keyed = df.withColumn("_h", md5_key(seed, *ids)).withColumn("_hb", F.substring("_h", 1, 2))
     return bucketed_row_number(
-        keyed, out, by=by, buckets=["_hb"], order=[F.col("_h"), *[F.col(i) for i in ids]]
-    ).drop("_h", "_hb")
+        df.withColumn("_h", md5_key(seed, *ids)),
+        out,
+        by=by,
+        buckets=lambda hot: [F.substring("_h", 1, 3)],
+        order=[F.col("_h"), *[F.col(i) for i in ids]],
+    ).drop("_h")
 
 
 def top_by_value(
-    df: DataFrame, value: str, tiebreak: str, limit: str, out: str, *, by: Sequence[str], n_splits: int = 32
+    df: DataFrame, value: str, tiebreak: str, limit: str, out: str, *, by: Sequence[str]
 ) -> DataFrame:
     """Rows of each group ranked by ``value`` descending then ``tiebreak``, up to the ``limit`` column."""
-    vs = split_points(df, value, n_splits)
-    ts = split_points(df, tiebreak, n_splits)
-    up = value_bucket(F.col(value), vs)
-    tied = value_bucket(F.col(tiebreak), ts)
-    keyed = df.withColumn("_vb", -up).withColumn("_tb", F.when(up % 2 == 1, tied).otherwise(F.lit(0)))
+
+    def buckets(hot: DataFrame) -> list[Column]:
+        up = value_bucket(F.col(value), split_points(hot, value))
+        tied = value_bucket(F.col(tiebreak), split_points(hot, tiebreak))
+        return [-up, F.when(up % 2 == 1, tied).otherwise(F.lit(0))]
+
     return bucketed_row_number(
-        keyed,
-        out,
-        by=by,
-        buckets=["_vb", "_tb"],
-        order=[F.col(value).desc(), F.col(tiebreak)],
-        at_most=limit,
-    ).drop("_vb", "_tb")
+        df, out, by=by, buckets=buckets, order=[F.col(value).desc(), F.col(tiebreak)], at_most=limit
+    )

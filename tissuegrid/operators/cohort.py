@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.ranking import bucketed_row_number, hash_order
+from ..functions.ranking import bucketed_row_number, hash_order, text_split_points, value_bucket
 
 # Fixed label vocabulary: field -> text -> value.
 SPECIAL_BINARY = {
@@ -105,10 +105,10 @@ def patient_slides(examples: DataFrame) -> DataFrame:
     Kept long: a list column would gather all slides of one patient in one row.
     """
     return bucketed_row_number(
-        examples.withColumn("_b", F.substring("base", 1, 64)),
+        examples,
         "_rn",
         by=["patient_id"],
-        buckets=["_b"],
+        buckets=lambda hot: [value_bucket(F.col("base"), text_split_points(hot, "base"))],
         order=[F.col("base")],
     ).select("patient_id", (F.col("_rn") - 1).alias("ord"), "slide_id", "coords_path", "features_path")
 

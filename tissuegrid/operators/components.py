@@ -198,8 +198,8 @@ def boxes_of_runs(runs: DataFrame) -> DataFrame:
         (F.max("c1") + 1).alias("c1"),
         F.sum((F.col("c1") - F.col("c0") + 1).cast("bigint")).alias("area"),
     )
-    banded = boxes.withColumn("_band", F.floor(F.col("label") / (_SPAN * 16)))
-    return bucketed_row_number(banded, "_rn", by=[SLIDE], buckets=["_band"], order=[F.col("label")]).select(
+    bands = lambda hot: [F.floor(F.col("label") / (_SPAN * 16))]
+    return bucketed_row_number(boxes, "_rn", by=[SLIDE], buckets=bands, order=[F.col("label")]).select(
         SLIDE, (F.col("_rn") - 1).cast("int").alias("region_id"), "r0", "c0", "r1", "c1", "area", "label"
     )
 

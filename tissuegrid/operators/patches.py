@@ -96,10 +96,9 @@ def split_region(regions: DataFrame, max_dim: int, overlap: float) -> DataFrame:
         regions.withColumn("_rs", F.when(fits, one).otherwise(_starts(height, max_dim, overlap)))
         .withColumn("_cs", F.when(fits, one).otherwise(_starts(width, max_dim, overlap)))
         .withColumn("_n", F.size("_rs").cast("bigint") * F.size("_cs"))
-        .withColumn("_band", F.floor(F.col("region_id") / 256))
     )
     placed = bucketed_prefix_sum(
-        sized, "_n", "_base", by=[SLIDE], buckets=["_band"], order=[F.col("region_id")]
+        sized, "_n", "_base", by=[SLIDE], buckets=lambda hot: [F.floor(F.col("region_id") / 4096)], order=[F.col("region_id")]
     )
     rows = placed.select("*", F.posexplode("_rs").alias("_i", "rs"))
     cells = rows.select("*", F.posexplode("_cs").alias("_j", "cs"))

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.ranking import bucketed_prefix_sum, split_points, top_by_value, value_bucket
 from ..functions.scalars import argmax
+from ..session import cut
 
 
 def loss_column(kind: str, score: Column, y: Column) -> Column:
@@ -119,20 +120,27 @@ def binary_accuracy(
     return per_update.groupBy(*by).agg((F.sum(hits) / F.sum("_n")).alias("accuracy"), F.sum("_n").alias("n"))
 
 
-def auroc(df: DataFrame, score: str = "score", y: str = "y", by: Sequence[str] = (), n_splits: int = 32) -> DataFrame:
+def auroc(df: DataFrame, score: str = "score", y: str = "y", by: Sequence[str] = ()) -> DataFrame:
     """Area under the ROC curve by the rank sum; null when a class is missing.
 
     Rows collapse to one per distinct score first. The running count of negatives
     goes through score buckets, so neither a global sort nor one large group occurs.
     """
     by = list(by)
-    splits = split_points(df, score, n_splits)
-    per_score = (
-        df.groupBy(*by, F.col(score).alias("_s"))
-        .agg(F.count_if(F.col(y) == 1).alias("_pos"), F.count_if(F.col(y) == 0).alias("_neg"))
-        .withColumn("_b", value_bucket(F.col("_s"), splits))
+    per_score = cut(
+        df.groupBy(*by, F.col(score).alias("_s")).agg(
+            F.count_if(F.col(y) == 1).alias("_pos"), F.count_if(F.col(y) == 0).alias("_neg")
+        ),
+        "scores",
+    )
+    ranked = bucketed_prefix_sum(
+        per_score,
+        "_neg",
+        "_below",
+        by=by,
+        buckets=lambda hot: [value_bucket(F.col("_s"), split_points(hot, "_s"))],
+        order=[F.col("_s")],
     )
-    ranked = bucketed_prefix_sum(per_score, "_neg", "_below", by=by, buckets=["_b"], order=[F.col("_s")])
     wins = F.sum(F.col("_pos").cast("double") * (F.col("_below") + F.col("_neg") / 2))
     pairs = F.sum("_pos").cast("double") * F.sum("_neg")
     return ranked.groupBy(*by).agg(
