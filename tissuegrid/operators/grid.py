@@ -26,12 +26,12 @@ def mask_bbox(mask: DataFrame) -> DataFrame:
 def words_bbox(words: DataFrame) -> DataFrame:
     """``mask_bbox`` on packed words: first and last set bit by bit counts."""
     bits = F.col("bits")
-    low = F.bit_count(F.expr("bits ^ (bits - 1)")) - 1
-    # spread the highest set bit down, then count
-    spread = bits
+    # spread the lowest set bit up and the highest one down, then count
+    up = down = bits
     for s in (1, 2, 4, 8, 16, 32):
-        spread = spread.bitwiseOR(F.shiftrightunsigned(spread, s))
-    high = F.bit_count(spread) - 1
+        up = up.bitwiseOR(F.shiftleft(up, s))
+        down = down.bitwiseOR(F.shiftrightunsigned(down, s))
+    low, high = F.lit(WORD) - F.bit_count(up), F.bit_count(down) - 1
     return (
         words.where(bits != 0)
         .groupBy(SLIDE)

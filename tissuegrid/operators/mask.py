@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..params import CleanParams
+from ..session import cut
 from .components import boxes_of_runs, component_runs
 from .words import SLIDE, WORD, bit_range, mask_shape, pack_mask, runs_to_words, unpack_mask
 
@@ -101,15 +102,18 @@ def closing(mask: DataFrame, k: int) -> DataFrame:
     return unpack_mask(close_words(pack_mask(mask), k))
 
 
-def fill_holes_words(words: DataFrame) -> DataFrame:
-    """Background 4-components that do not reach the border become foreground."""
+def fill_holes_words(words: DataFrame, shape: DataFrame | None = None) -> DataFrame:
+    """Background 4-components that do not reach the border become foreground.
+
+    ``words`` is read twice, so pass a stored frame; ``shape`` saves a third reading.
+    """
     background = words.select(SLIDE, "r", "wi", F.bitwise_not("bits").bitwiseAND(F.col("valid")).alias("bits"))
     runs = component_runs(background, conn=4)
     extent = runs.groupBy(SLIDE, "label").agg(
         F.min("r").alias("r_min"), F.max("r").alias("r_max"), F.min("c0").alias("c_min"), F.max("c1").alias("c_max")
     )
     inner = (
-        extent.join(mask_shape(words), SLIDE)
+        extent.join(mask_shape(words) if shape is None else shape, SLIDE)
         .where(
             (F.col("r_min") > 0)
             & (F.col("c_min") > 0)
@@ -125,13 +129,17 @@ def fill_holes_words(words: DataFrame) -> DataFrame:
 
 
 def fill_holes(mask: DataFrame) -> DataFrame:
-    return unpack_mask(fill_holes_words(pack_mask(mask)))
+    return unpack_mask(fill_holes_words(cut(pack_mask(mask), "mask")))
 
 
-def remove_bars_words(words: DataFrame, width_ratio: float, height_ratio: float) -> DataFrame:
-    """Drop wide flat and tall narrow components."""
+def remove_bars_words(
+    words: DataFrame, width_ratio: float, height_ratio: float, shape: DataFrame | None = None
+) -> DataFrame:
+    """Drop wide flat and tall narrow components; reads ``words`` like ``fill_holes_words``."""
     runs = component_runs(words.select(SLIDE, "r", "wi", "bits"), conn=8)
-    boxes = boxes_of_runs(runs).join(mask_shape(words), SLIDE)
+    boxes = runs.groupBy(SLIDE, "label").agg(
+        F.min("r").alias("r0"), (F.max("r") + 1).alias("r1"), F.min("c0").alias("c0"), (F.max("c1") + 1).alias("c1")
+    ).join(mask_shape(words) if shape is None else shape, SLIDE)
     bw, bh = F.col("c1") - F.col("c0"), F.col("r1") - F.col("r0")
     flat = (bw > F.lit(width_ratio) * F.col("w")) & (bh < F.lit(1 - height_ratio) * F.col("h"))
     tall = (bh > F.lit(height_ratio) * F.col("h")) & (bw < F.lit(1 - width_ratio) * F.col("w"))
@@ -145,14 +153,16 @@ def remove_bars_words(words: DataFrame, width_ratio: float, height_ratio: float)
 
 
 def remove_bars(mask: DataFrame, width_ratio: float, height_ratio: float) -> DataFrame:
-    return unpack_mask(remove_bars_words(pack_mask(mask), width_ratio, height_ratio))
+    return unpack_mask(remove_bars_words(cut(pack_mask(mask), "mask"), width_ratio, height_ratio))
 
 
-def clear_margin_words(words: DataFrame, margin: int, edge_mode: str = "rows") -> DataFrame:
+def clear_margin_words(
+    words: DataFrame, margin: int, edge_mode: str = "rows", shape: DataFrame | None = None
+) -> DataFrame:
     """Zero line ``margin`` and line ``h - margin`` ('rows'), or everything outside them ('band')."""
     if margin < 1:
         raise ValueError("margin must be at least 1")
-    sized = words.join(mask_shape(words).select(SLIDE, "h"), SLIDE)
+    sized = words.join((mask_shape(words) if shape is None else shape).select(SLIDE, "h"), SLIDE)
     r, h = F.col("r"), F.col("h")
     if edge_mode == "rows":
         off = (r == margin) | (r == h - margin)
@@ -165,7 +175,9 @@ def clear_margin_words(words: DataFrame, margin: int, edge_mode: str = "rows") -
     )
 
 
-def clear_full_sides_words(words: DataFrame, margin: int, share: float = 0.9) -> DataFrame:
+def clear_full_sides_words(
+    words: DataFrame, margin: int, share: float = 0.9, shape: DataFrame | None = None
+) -> DataFrame:
     """Zero ``margin`` lines along any side whose outermost line is at least ``share`` set.
 
     Sides are tested top, bottom, left, right, and a side already cleared counts
@@ -173,7 +185,7 @@ def clear_full_sides_words(words: DataFrame, margin: int, share: float = 0.9) ->
     """
     if margin < 1:
         raise ValueError("margin must be at least 1")
-    sized = words.join(mask_shape(words), SLIDE)
+    sized = words.join(mask_shape(words) if shape is None else shape, SLIDE)
     r, h, w, wi = F.col("r"), F.col("h"), F.col("w"), F.col("wi")
     left = F.when(wi == 0, F.getbit("bits", F.lit(0)).cast("int")).otherwise(0)
     last = w - 1
@@ -252,15 +264,21 @@ def regrid_mask(mask: DataFrame, height: int, width: int) -> DataFrame:
 
 
 def clean_words(words: DataFrame, p: CleanParams) -> DataFrame:
-    """The whole clean-up chain on packed words."""
-    words = fill_holes_words(open_words(words, p.opening_kernel))
-    words = clear_margin_words(words, p.edge_margin)
-    words = remove_bars_words(words, p.max_width_ratio, p.max_height_ratio)
+    """The whole clean-up chain on packed words.
+
+    Words are stored before each step that reads them more than once, so no step is
+    computed twice; the shape of a mask never changes and is found once.
+    """
+    words = cut(words, "mask")
+    shape = cut(mask_shape(words), "shape")
+    words = fill_holes_words(cut(open_words(words, p.opening_kernel), "mask"), shape)
+    words = cut(clear_margin_words(words, p.edge_margin, shape=shape), "mask")
+    words = remove_bars_words(words, p.max_width_ratio, p.max_height_ratio, shape)
     if p.square_fill_kernel > 0:
-        words = fill_holes_words(close_words(words, p.square_fill_kernel))
+        words = fill_holes_words(cut(close_words(words, p.square_fill_kernel), "mask"), shape)
     if p.square_dilation_kernel > 0:
         words = dilate_words(words, p.square_dilation_kernel)
-    return clear_full_sides_words(open_words(words, p.opening_kernel * 4), p.edge_margin)
+    return clear_full_sides_words(cut(open_words(words, p.opening_kernel * 4), "mask"), p.edge_margin, shape=shape)
 
 
 def clean_mask(mask: DataFrame, p: CleanParams = CleanParams(), shape: tuple[int, int] | None = None) -> DataFrame:
