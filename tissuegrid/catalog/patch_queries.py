@@ -353,29 +353,43 @@ def p4(spark, path):
     )
 
 
-@query(
-    "c4_patient_dataset",
-    fx.with_sql(
-        """, used AS (SELECT * FROM fx_slide_meta WHERE CAST(slide_id AS VARCHAR) IN (SELECT slide_id FROM pairs)),
+def _dataset_sql() -> str:
+    s = Steps(fx.META, fx.FILES, PAIRS, fx.LATTICE)
+    # cells of slides with a complete pair
+    s.parts.append(
+        """lattice_cells AS MATERIALIZED (SELECT slide_id, gx AS r, gy AS c FROM fx_lattice
+          WHERE CAST(slide_id AS VARCHAR) IN (SELECT slide_id FROM pairs)
+          GROUP BY slide_id, gx, gy HAVING sum(f0) <> 0 OR sum(f1) <> 0)"""
+    )
+    patches = _patches(s, _regions(s, "lattice_cells"))
+    return s.text(
+        f""", used AS (SELECT * FROM fx_slide_meta WHERE CAST(slide_id AS VARCHAR) IN (SELECT slide_id FROM pairs)),
              used_rollup AS (SELECT patient_id, max(CAST(odx_train AS DOUBLE)) AS odx_train,
                max(CASE WHEN odx85 = 'H' THEN 1 ELSE 0 END) AS odx85, max(CASE WHEN mphr = 'H' THEN 1 ELSE 0 END) AS mphr,
-               count(*) AS n_slides FROM used GROUP BY patient_id)
-           SELECT patient_id, n_slides, CAST(odx85 AS FLOAT) AS default_label, CAST(odx85 AS FLOAT) AS odx85,
-             CAST(mphr AS FLOAT) AS mphr, CAST(odx_train AS FLOAT) AS odx_train FROM used_rollup""",
-        fx.META,
-        fx.FILES,
-        PAIRS,
-    ),
-)
+               count(*) AS n_slides FROM used GROUP BY patient_id),
+             n AS (SELECT u.patient_id, count(*) AS n_patches FROM {patches} p JOIN used u ON u.slide_id = p.slide_id GROUP BY 1)
+           SELECT r.patient_id, n_slides, CAST(odx85 AS FLOAT) AS default_label, CAST(odx85 AS FLOAT) AS odx85,
+             CAST(mphr AS FLOAT) AS mphr, CAST(odx_train AS FLOAT) AS odx_train, coalesce(n_patches, 0) AS n_patches
+           FROM used_rollup r LEFT JOIN n ON n.patient_id = r.patient_id"""
+    )
+
+
+@query("c4_patient_dataset", _dataset_sql())
 def c4(spark, path):
-    tiles = fx.tiles(spark, path).withColumn("slide_id", F.col("slide_id").cast("string"))
-    data = pl.patient_dataset(
+    tiles = fx.lattice(spark, path).withColumn("slide_id", F.col("slide_id").cast("string"))
+    data = pl.PatientDataset(
         fx.files(spark, path),
         fx.keyed_meta(spark, path),
         tiles,
         PatchParams(DIM, OVERLAP),
-        labels=["odx85", "mphr", "odx_train"],
+        include=("odx85", "mphr", "odx_train"),
+    )
+    wide = data.labels().groupBy("patient_id").pivot("label", ["odx85", "mphr", "odx_train"]).agg(F.first("value"))
+    slides = data.slides().groupBy("patient_id").agg(F.count(F.lit(1)).alias("n_slides"))
+    patches = data.patches().groupBy("patient_id").agg(F.count(F.lit(1)).alias("n_patches"))
+    return (
+        slides.join(data.default_labels(), "patient_id")
+        .join(wide, "patient_id")
+        .join(patches, "patient_id", "left")
+        .withColumn("n_patches", F.coalesce("n_patches", F.lit(0).cast("bigint")))
     )
-    wide = data["labels"].groupBy("patient_id").pivot("label", ["odx85", "mphr", "odx_train"]).agg(F.first("value"))
-    n = data["slides"].groupBy("patient_id").agg(F.count(F.lit(1)).alias("n_slides"))
-    return n.join(data["default_labels"], "patient_id").join(wide, "patient_id")

@@ -191,13 +191,13 @@ def component_runs(words: DataFrame, conn: int = 8) -> DataFrame:
 
 def boxes_of_runs(runs: DataFrame) -> DataFrame:
     """Half-open box and area of every component, with ``region_id`` 0.. in raster order."""
-    boxes = runs.groupBy(SLIDE, "label").agg(
+    boxes = cut(runs.groupBy(SLIDE, "label").agg(
         F.min("r").alias("r0"),
         F.min("c0").alias("c0"),
         (F.max("r") + 1).alias("r1"),
         (F.max("c1") + 1).alias("c1"),
         F.sum((F.col("c1") - F.col("c0") + 1).cast("bigint")).alias("area"),
-    )
+    ), "boxes")
     bands = lambda hot: [F.floor(F.col("label") / (_SPAN * 16))]
     return bucketed_row_number(boxes, "_rn", by=[SLIDE], buckets=bands, order=[F.col("label")]).select(
         SLIDE, (F.col("_rn") - 1).cast("int").alias("region_id"), "r0", "c0", "r1", "c1", "area", "label"

@@ -17,11 +17,14 @@ from pyspark.sql import types as T
 
 from ..functions.ranking import bucketed_prefix_sum
 from ..functions.scalars import active
+from ..session import cut
 from .components import region_boxes
 from .pooling import vector_sum
 from .words import SLIDE
 
 CELL = [SLIDE, "gx", "gy"]
+# Repeated cells that are still broadcast (three numbers each).
+MAX_REPEATED = 500_000
 
 # The ten integers that place a patch.
 PATCH_INFO = [
@@ -40,16 +43,23 @@ PATCH_INFO = [
 def coalesce_cells(tiles: DataFrame, features: str = "features") -> DataFrame:
     """Tiles that share a cell are summed element by element; others pass through untouched.
 
-    Only positions are counted first. Vectors of repeated cells alone go through
-    the aggregate, which merges on the map side.
+    Positions alone are counted first. Cells seldom repeat: without any, vectors are
+    not moved at all; with few, their list is broadcast and only their vectors go
+    through the aggregate; beyond ``MAX_REPEATED`` all vectors take one aggregate.
     """
-    repeated = tiles.groupBy(*CELL).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > 1).select(*CELL)
     kind = tiles.schema[features].dataType
-    summed = (
-        tiles.join(repeated, CELL, "left_semi").groupBy(*CELL).agg(vector_sum(features).cast(kind).alias(features))
+    total = vector_sum(features).cast(kind).alias(features)
+    repeated = cut(
+        tiles.groupBy(*CELL).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > 1).select(*CELL), "repeated"
     )
-    single = tiles.join(repeated, CELL, "left_anti").select(*CELL, features)
-    return single.unionByName(summed)
+    n = repeated.count()
+    if n == 0:
+        return tiles.select(*CELL, features)
+    if n > MAX_REPEATED:
+        return tiles.groupBy(*CELL).agg(total)
+    few = F.broadcast(repeated)
+    single = tiles.join(few, CELL, "left_anti").select(*CELL, features)
+    return single.unionByName(tiles.join(few, CELL, "left_semi").groupBy(*CELL).agg(total))
 
 
 def active_cells(tiles: DataFrame, features: str = "features", unique: bool = False) -> DataFrame:
@@ -139,7 +149,7 @@ def make_patches(
     tiles: DataFrame, max_dim: int = 32, overlap: float = 0.1, features: str = "features", unique: bool = False
 ) -> DataFrame:
     """Regions of active tiles cut into patches; no tiles give an empty table with the schema."""
-    regions = region_boxes(active_cells(tiles, features, unique), conn=8, row="gx", col="gy")
+    regions = cut(region_boxes(active_cells(tiles, features, unique), conn=8, row="gx", col="gy"), "regions")
     return split_region(regions, max_dim, overlap)
 
 

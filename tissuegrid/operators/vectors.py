@@ -19,9 +19,10 @@ CLOSURE_FLOATS = 8 * 1024 * 1024
 
 def zscore(df: DataFrame, stats: DataFrame, features: str = "features", out: str = "z") -> DataFrame:
     """(x - mean) / std per element; ``stats`` is one row of ``mean`` and ``std``."""
-    mean, std = stats.select("mean").scalar(), stats.select("std").scalar()
-    centred = F.zip_with(F.col(features).cast("array<double>"), mean, lambda x, m: x - m)
-    return df.withColumn(out, F.zip_with(centred, std, lambda x, s: x / F.nullif(s, F.lit(0.0))))
+    with_stats = df.withColumns({"_mean": stats.select("mean").scalar(), "_std": stats.select("std").scalar()})
+    centred = F.zip_with(F.col(features).cast("array<double>"), F.col("_mean"), lambda x, m: x - m)
+    scaled = F.zip_with(centred, F.col("_std"), lambda x, s: x / F.nullif(s, F.lit(0.0)))
+    return with_stats.withColumn(out, scaled).drop("_mean", "_std")
 
 
 def fill_blanks(df: DataFrame, background: DataFrame | None = None, features: str = "features") -> DataFrame:
@@ -176,15 +177,21 @@ def _near(vecs, ids, matrix, k, vec_id, features, id_type, center_id) -> DataFra
 
 
 def embed_tiles(
-    tiles: DataFrame, fn: Callable[[], Callable[[np.ndarray], np.ndarray]], column: str, batch: int = 256, out: str = "features"
+    tiles: DataFrame,
+    fn: Callable[[], Callable[[np.ndarray], np.ndarray]],
+    column: str,
+    batch: int = 256,
+    out: str = "features",
+    shape: Sequence[int] | None = None,
 ) -> DataFrame:
     """Apply a batched encoder to ``column``; rows keep their keys.
 
     ``fn`` is called once per Python worker and returns the encoder, which maps an
-    array of inputs to an array of vectors. Filter tiles before this step: filters
+    array of inputs to an array of vectors; ``shape`` is that of one array input,
+    none for scalars. Filter tiles before this step: filters
     are not pushed through it.
     """
     from pyspark.ml.functions import predict_batch_udf
 
-    encode = predict_batch_udf(fn, return_type=T.ArrayType(T.FloatType()), batch_size=batch, input_tensor_shapes=[None])
+    encode = predict_batch_udf(fn, return_type=T.ArrayType(T.FloatType()), batch_size=batch, input_tensor_shapes=[list(shape)] if shape else None)
     return tiles.withColumn(out, encode(F.col(column)))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass, field
+from functools import cached_property
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -53,7 +56,7 @@ def patient_summary(
     tiles: DataFrame, slide_patient: DataFrame, max_dim: int, overlap: float, features: str = "features", unique: bool = False
 ) -> DataFrame:
     """Slides, regions, patches and active cells per patient, for every patient with tiles."""
-    cells = cut(patches.active_cells(tiles, features, unique), "active")
+    cells = patches.active_cells(tiles, features, unique)
     regions = cut(patches.region_boxes(cells, conn=8, row="gx", col="gy"), "regions")
     per_slide = (
         regions.groupBy(SLIDE)
@@ -73,32 +76,48 @@ def patient_summary(
     )
 
 
-def patient_dataset(
-    files: DataFrame,
-    meta: DataFrame,
-    tiles: DataFrame,
-    params: PatchParams = PatchParams(),
-    labels: list[str] | None = None,
-    task_overrides: dict[str, str] | None = None,
-    root: str = "",
-) -> dict[str, DataFrame]:
-    """The tables behind a training set, all keyed by patient or slide.
-
-    ``slides`` (patient, order, paths), ``patients`` (roll-up), ``patches`` with the
-    ten integers, ``labels`` (long) and ``default_labels``. Nothing is computed for
-    tables that are not used.
+@dataclass(frozen=True)
+class PatientDataset:
+    """Files, metadata and tiles joined to what a training set needs, table by table.
+
+    Every table is keyed by patient or slide and built only when asked for.
     """
-    pairs = cohort.restrict_to_metadata(cohort.complete_pairs(files), meta)
-    examples = cohort.slide_examples(pairs, meta, root=root)
-    kept = meta.join(examples.select("slide_id"), "slide_id", "left_semi")
-    patients = cohort.patient_rollup(kept)
-    long = cohort.patient_labels(patients, "patient_id")
-    long = cohort.task_types(cohort.include_labels(long, labels), task_overrides or {})
-    used = tiles.join(examples.select("slide_id"), "slide_id", "left_semi")
-    return {
-        "slides": cohort.patient_slides(examples),
-        "patients": patients,
-        "patches": patches.make_patches(used, params.max_dim, params.overlap),
-        "labels": long,
-        "default_labels": cohort.default_label(patients, long, "patient_id"),
-    }
+
+    files: DataFrame
+    meta: DataFrame
+    tiles: DataFrame
+    params: PatchParams = PatchParams()
+    include: tuple[str, ...] | None = None
+    task_overrides: dict[str, str] = field(default_factory=dict)
+    root: str = ""
+
+    @cached_property
+    def examples(self) -> DataFrame:
+        """Complete slides in the metadata with their patient and two paths; stored, as all tables use it."""
+        pairs = cohort.restrict_to_metadata(cohort.complete_pairs(self.files), self.meta)
+        return cut(cohort.slide_examples(pairs, self.meta, root=self.root), "examples")
+
+    def slides(self) -> DataFrame:
+        """Slides of each patient in key order."""
+        return cohort.patient_slides(self.examples)
+
+    @cached_property
+    def patients(self) -> DataFrame:
+        """Label roll-up over complete slides, stored."""
+        return cut(cohort.patient_rollup(self.meta.join(self.examples.select(SLIDE), SLIDE, "left_semi")), "patients")
+
+    def labels(self) -> DataFrame:
+        """Included labels, long, with their task types."""
+        long = cohort.patient_labels(self.patients, "patient_id")
+        return cohort.task_types(cohort.include_labels(long, self.include), self.task_overrides)
+
+    def default_labels(self) -> DataFrame:
+        return cohort.default_label(self.patients, self.labels(), "patient_id")
+
+    def used_tiles(self) -> DataFrame:
+        return self.tiles.join(self.examples.select(SLIDE), SLIDE, "left_semi")
+
+    def patches(self) -> DataFrame:
+        """Patches of complete slides with ``patient_id`` and the ten placing integers."""
+        made = patches.make_patches(self.used_tiles(), self.params.max_dim, self.params.overlap)
+        return made.join(self.examples.select(SLIDE, "patient_id"), SLIDE)
