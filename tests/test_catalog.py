@@ -44,6 +44,8 @@ def test_query_equals_sql(spark, duck, name):
     result = duck.execute(ORACLES[name])
     columns = [c[0] for c in result.description]
     assert sorted(df.columns) == sorted(columns)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
     assert rows_of(df.columns, df.collect()) == rows_of(columns, result.fetchall())
 
 

@@ -7,7 +7,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from tissuegrid.functions import ranking
+from tissuegrid.functions import ranking, skew
 from tissuegrid.functions import scalars as sc
 from tissuegrid.operators import augment as au
 from tissuegrid.operators import cohort as co
@@ -19,7 +19,7 @@ from tissuegrid.operators import vectors as ve
 @pytest.fixture
 def small_groups(monkeypatch):
     """Treat every group above 50 rows as large."""
-    monkeypatch.setattr(ranking, "HOT_ROWS", 50)
+    monkeypatch.setattr(skew, "HOT_ROWS", 50)
 
 
 @pytest.fixture(scope="module")
@@ -52,7 +52,7 @@ def test_large_groups_rank_as_small_ones(spark, preds, monkeypatch):
         }
 
     plain = results()
-    monkeypatch.setattr(ranking, "HOT_ROWS", 50)
+    monkeypatch.setattr(skew, "HOT_ROWS", 50)
     large = results()
     for name in plain:
         cols = sorted(plain[name].columns)
@@ -250,3 +250,16 @@ def test_reinhard_reaches_its_target(spark):
         assert r.ch1_mean == pytest.approx(50) and r.ch1_std == pytest.approx(7)
     with pytest.raises(ValueError):
         st.virtual_template(px, t, "cauchy")
+
+
+def test_salted_join_equals_plain_join(spark, preds, monkeypatch):
+    df = spark.createDataFrame(preds.drop(columns="is_global"))
+    side = df.groupBy("bag_id").agg(F.max("score").alias("best")).where("bag_id % 5 <> 3")
+    plain = {h: skew.attach_by_key(df, side, ["bag_id"], h) for h in ("inner", "left", "left_semi", "left_anti")}
+    monkeypatch.setattr(skew, "BROADCAST_ROWS", 1)
+    unsalted = skew.attach_by_key(df, side, ["bag_id"])
+    monkeypatch.setattr(skew, "HOT_ROWS", 50)
+    for how, want in plain.items():
+        got = skew.attach_by_key(df, side, ["bag_id"], how).select(*want.columns)
+        assert got.exceptAll(want).isEmpty() and want.exceptAll(got).isEmpty()
+    assert unsalted.exceptAll(plain["inner"]).isEmpty()

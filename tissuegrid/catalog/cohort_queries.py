@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as sc
 from ..functions.hashing import uniform01
+from ..functions.skew import attach_by_key
 from ..operators import cohort as co
 from . import fixtures as fx
 from .registry import query
@@ -237,6 +238,14 @@ def j4(spark, path):
 
 @query(
     "w9_slide_order",
+    fx.with_sql("SELECT * FROM examples", fx.FILES, fx.META, PAIRS, PART_META, EXAMPLES),
+)
+def w9(spark, path):
+    return co.slide_order(_examples(spark, path))
+
+
+@query(
+    "a5_patient_slides",
     fx.with_sql(
         """SELECT patient_id, row_number() OVER (PARTITION BY patient_id ORDER BY base) - 1 AS ord, slide_id, coords_path,
              features_path FROM examples""",
@@ -247,8 +256,8 @@ def j4(spark, path):
         EXAMPLES,
     ),
 )
-def w9(spark, path):
-    return co.patient_slides(co.slide_order(_examples(spark, path)))
+def a5_slides(spark, path):
+    return co.patient_slides(_examples(spark, path))
 
 
 @query(
@@ -263,7 +272,7 @@ def w9(spark, path):
 def j7(spark, path):
     meta = fx.slide_meta(spark, path)
     first = co.label_lookup(meta, "patient_id", "odx85", "slide_id")
-    return meta.select("slide_id", "patient_id").join(first, "patient_id")
+    return attach_by_key(meta.select("slide_id", "patient_id"), first, ["patient_id"])
 
 
 @query("a5_patient_rollup", fx.with_sql("SELECT * FROM rollup", fx.META, fx.ROLLUP))

@@ -1,7 +1,7 @@
 """Exact ranks and running sums whose groups may hold any share of the rows.
 
 A window sends one whole group to one task, which is right for groups of ordinary
-size. Groups above a size limit are found first (never more than ``MAX_HOT`` of
+size. Groups above a size limit are found first (a bounded number of
 them); only their rows are cut into ordered buckets. Bucket totals give the offsets
 and a window inside one bucket gives the rest. Nothing is dropped, and ties are
 broken by the order the caller states, so both ways give the same numbers.
@@ -14,13 +14,9 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import cut
+from . import skew
 from .hashing import md5_key
 
-# A group is large above this many rows, or above its share of MAX_HOT-th of the table.
-HOT_ROWS = 500_000
-MAX_HOT = 100_000
-
 BucketMaker = Callable[[DataFrame], list[Column]]
 
 
@@ -68,18 +64,14 @@ def _attach(df: DataFrame, side: DataFrame, keys: Sequence[str], how: str = "lef
 
 def _mark_hot(df: DataFrame, by: list[str]) -> DataFrame | None:
     """``df`` with ``_hot``, or None when every group is of ordinary size."""
-    total = df.count()
-    limit = max(HOT_ROWS, total // MAX_HOT)
-    if total <= limit:
-        return None
     if not by:
-        return df.withColumn("_hot", F.lit(True))
-    sizes = df.groupBy(*by).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > limit)
-    hot = cut(sizes.select(*by, F.lit(True).alias("_hot")), "hot")
-    if hot.isEmpty():
+        return df.withColumn("_hot", F.lit(True)) if df.count() > skew.HOT_ROWS else None
+    large = skew.large_keys(df, by)
+    if large is None:
         return None
-    # fewer than MAX_HOT groups can be above the limit, so this side is bounded
-    return _attach(df, F.broadcast(hot), by).withColumn("_hot", F.coalesce("_hot", F.lit(False)))
+    # fewer than MAX_HOT groups are large, so this side is bounded
+    hot = F.broadcast(large.select(*by, F.lit(True).alias("_hot")))
+    return _attach(df, hot, by).withColumn("_hot", F.coalesce("_hot", F.lit(False)))
 
 
 def _bucketed(marked: DataFrame, by: list[str], buckets: BucketMaker, value: Column) -> tuple[DataFrame, list[str]]:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.ranking import bucketed_row_number, hash_order, text_split_points, value_bucket
+from ..functions.skew import attach_by_key
 
 # Fixed label vocabulary: field -> text -> value.
 SPECIAL_BINARY = {
@@ -326,8 +327,7 @@ def histogram(df: DataFrame, col: str, by: Sequence[str], bins: int = 25) -> Dat
         F.col("_hi") > F.col("_lo"), F.floor((F.col(col) - F.col("_lo")) * bins / (F.col("_hi") - F.col("_lo")))
     ).otherwise(F.lit(bins // 2))
     return (
-        df.where(F.col(col).isNotNull())
-        .join(span, list(by))
+        attach_by_key(df.where(F.col(col).isNotNull()), span, by)
         .groupBy(*by, F.least(at, F.lit(bins - 1)).cast("int").alias("bin"))
         .agg(F.count(F.lit(1)).alias("n"))
     )

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import floor_div, half_even
+from ..functions.skew import attach_by_key
+from ..session import cut
 from .words import SLIDE, WORD, bit, bit_range
 
 
@@ -89,7 +91,7 @@ def coo_coords(coords: DataFrame, size: Column, overlap: float) -> DataFrame:
     low = coords.groupBy(SLIDE).agg(F.min("x").alias("_x0"), F.min("y").alias("_y0"))
     step = half_even(size * F.lit(1.0 - overlap))
     return (
-        coords.join(low, SLIDE)
+        attach_by_key(coords, low, [SLIDE])
         .withColumn("gx", floor_div(F.col("x") - F.col("_x0"), step).cast("int"))
         .withColumn("gy", floor_div(F.col("y") - F.col("_y0"), step).cast("int"))
         .drop("_x0", "_y0")
@@ -104,7 +106,7 @@ def minmax_255(df: DataFrame, value: str, out: str = "u8", unit: bool = False) -
         scaled = (v - lo) / F.nullif(hi - lo, F.lit(0))
     else:
         scaled = F.floor((v - lo) / (F.lit(1e-6) + (hi - lo)) * 255.0).cast("int")
-    return df.join(span, SLIDE).withColumn(out, scaled).drop("_lo", "_hi")
+    return attach_by_key(df, span, [SLIDE]).withColumn(out, scaled).drop("_lo", "_hi")
 
 
 def integral_image(mask: DataFrame) -> DataFrame:
@@ -211,6 +213,7 @@ def heatmap(coords: DataFrame, shape: DataFrame) -> DataFrame:
     ``coords`` has ``x, y, scale, size``; ``shape`` has ``(slide_id, h, w)``. Tiles are
     counted per grid start before they are spread over pixels.
     """
+    shape = cut(shape, "shape")
     side = half_even(F.col("size").cast("double") / F.col("scale"))
     starts = (
         coords.groupBy(
@@ -220,7 +223,9 @@ def heatmap(coords: DataFrame, shape: DataFrame) -> DataFrame:
             side.alias("_side"),
         )
         .agg(F.count(F.lit(1)).alias("n"))
-        .join(shape, SLIDE)
+    )
+    starts = (
+        attach_by_key(starts, shape, [SLIDE], stored=True)
         .where((F.col("_side") > 0) & (F.col("_r") < F.col("h")) & (F.col("_c") < F.col("w")))
     )
     hits = (

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.skew import attach_by_key
 from ..params import CleanParams
 from ..session import cut
 from .components import boxes_of_runs, component_runs
@@ -102,6 +103,13 @@ def closing(mask: DataFrame, k: int) -> DataFrame:
     return unpack_mask(close_words(pack_mask(mask), k))
 
 
+def _with_shape(df: DataFrame, words: DataFrame, shape: DataFrame | None) -> DataFrame:
+    """``df`` with ``h`` and ``w`` of its slide; ``shape`` is stored when given."""
+    if shape is None:
+        return attach_by_key(df, mask_shape(words), [SLIDE])
+    return attach_by_key(df, shape, [SLIDE], stored=True)
+
+
 def fill_holes_words(words: DataFrame, shape: DataFrame | None = None) -> DataFrame:
     """Background 4-components that do not reach the border become foreground.
 
@@ -113,7 +121,7 @@ def fill_holes_words(words: DataFrame, shape: DataFrame | None = None) -> DataFr
         F.min("r").alias("r_min"), F.max("r").alias("r_max"), F.min("c0").alias("c_min"), F.max("c1").alias("c_max")
     )
     inner = (
-        extent.join(mask_shape(words) if shape is None else shape, SLIDE)
+        _with_shape(extent, words, shape)
         .where(
             (F.col("r_min") > 0)
             & (F.col("c_min") > 0)
@@ -139,7 +147,8 @@ def remove_bars_words(
     runs = component_runs(words.select(SLIDE, "r", "wi", "bits"), conn=8)
     boxes = runs.groupBy(SLIDE, "label").agg(
         F.min("r").alias("r0"), (F.max("r") + 1).alias("r1"), F.min("c0").alias("c0"), (F.max("c1") + 1).alias("c1")
-    ).join(mask_shape(words) if shape is None else shape, SLIDE)
+    )
+    boxes = _with_shape(boxes, words, shape)
     bw, bh = F.col("c1") - F.col("c0"), F.col("r1") - F.col("r0")
     flat = (bw > F.lit(width_ratio) * F.col("w")) & (bh < F.lit(1 - height_ratio) * F.col("h"))
     tall = (bh > F.lit(height_ratio) * F.col("h")) & (bw < F.lit(1 - width_ratio) * F.col("w"))
@@ -162,7 +171,7 @@ def clear_margin_words(
     """Zero line ``margin`` and line ``h - margin`` ('rows'), or everything outside them ('band')."""
     if margin < 1:
         raise ValueError("margin must be at least 1")
-    sized = words.join((mask_shape(words) if shape is None else shape).select(SLIDE, "h"), SLIDE)
+    sized = _with_shape(words, words, shape)
     r, h = F.col("r"), F.col("h")
     if edge_mode == "rows":
         off = (r == margin) | (r == h - margin)
@@ -185,7 +194,7 @@ def clear_full_sides_words(
     """
     if margin < 1:
         raise ValueError("margin must be at least 1")
-    sized = words.join(mask_shape(words) if shape is None else shape, SLIDE)
+    sized = _with_shape(words, words, shape)
     r, h, w, wi = F.col("r"), F.col("h"), F.col("w"), F.col("wi")
     left = F.when(wi == 0, F.getbit("bits", F.lit(0)).cast("int")).otherwise(0)
     last = w - 1
@@ -231,7 +240,7 @@ def clear_full_sides_words(
         .bitwiseOR(F.when(F.col("left"), columns(F.lit(0), F.lit(margin - 1))).otherwise(zero))
         .bitwiseOR(F.when(F.col("right"), columns(w - margin, w - 1)).otherwise(zero))
     )
-    return words.join(flags, SLIDE).select(
+    return attach_by_key(words, flags, [SLIDE]).select(
         SLIDE, "r", "wi", F.col("bits").bitwiseAND(F.bitwise_not(cleared)).alias("bits"), "valid"
     )
 
@@ -256,7 +265,7 @@ def regrid_mask(mask: DataFrame, height: int, width: int) -> DataFrame:
         return F.when(stop > first, F.sequence(first, stop - 1)).otherwise(F.array().cast("array<int>"))
 
     return (
-        mask.join(shape, SLIDE)
+        attach_by_key(mask, shape, [SLIDE])
         .select(SLIDE, F.explode(targets(F.col("r"), F.col("_h"), height)).alias("nr"), "c", "v", "_w")
         .select(SLIDE, F.col("nr").alias("r"), F.explode(targets(F.col("c"), F.col("_w"), width)).alias("c"), "v")
         .withColumn("v", F.ceil("v").cast("int"))
@@ -292,12 +301,13 @@ def triangle_threshold(pixels: DataFrame, value: str, bins: int = 256) -> DataFr
 
     The histogram side holds at most ``bins`` rows per slide.
     """
-    span = pixels.groupBy(SLIDE).agg(F.min(value).alias("lo"), F.max(value).alias("hi"))
+    span = cut(pixels.groupBy(SLIDE).agg(F.min(value).alias("lo"), F.max(value).alias("hi")), "span")
     spot = F.when(F.col("hi") > F.col("lo"), F.floor((F.col(value) - F.col("lo")) * bins / (F.col("hi") - F.col("lo"))))
-    hist = (
-        pixels.join(span, SLIDE)
+    hist = cut(
+        attach_by_key(pixels, span, [SLIDE], stored=True)
         .groupBy(SLIDE, F.least(F.coalesce(spot, F.lit(0)), F.lit(bins - 1)).cast("int").alias("bin"))
-        .agg(F.count(F.lit(1)).alias("n"))
+        .agg(F.count(F.lit(1)).alias("n")),
+        "hist",
     )
     marks = hist.groupBy(SLIDE).agg(
         F.max(F.struct("n", (-F.col("bin")).alias("nb"))).alias("top"),
@@ -331,7 +341,7 @@ def triangle_threshold(pixels: DataFrame, value: str, bins: int = 256) -> DataFr
     cut_at = span.join(best, SLIDE, "left").select(
         SLIDE, F.when(F.col("bin").isNull(), F.col("lo")).otherwise(centre).alias("threshold")
     )
-    return pixels.join(cut_at, SLIDE).withColumn("v", (F.col(value) <= F.col("threshold")).cast("int"))
+    return attach_by_key(pixels, cut_at, [SLIDE]).withColumn("v", (F.col(value) <= F.col("threshold")).cast("int"))
 
 
 def block_max_pool(mask: DataFrame, s: int) -> DataFrame:
@@ -343,7 +353,7 @@ def block_max_pool(mask: DataFrame, s: int) -> DataFrame:
         return F.floor((F.col(at) + F.floor(missing / 2)) / s).cast("int")
 
     return (
-        mask.join(shape, SLIDE)
+        attach_by_key(mask, shape, [SLIDE])
         .groupBy(SLIDE, block("r", "_h").alias("r"), block("c", "_w").alias("c"))
         .agg(F.max("v").alias("v"))
     )

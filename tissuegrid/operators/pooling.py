@@ -13,6 +13,8 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.skew import attach_by_key
+
 EPSILON = 1e-7
 
 
@@ -103,9 +105,9 @@ def attention_weights(df: DataFrame, key: Sequence[str], logit: str, mask: str |
     raised = F.col(logit) if mask is None else F.when(F.col(mask), F.col(logit)).otherwise(F.col(logit) - F.lit(1e9))
     scored = df.withColumn("_l", raised)
     top = scored.groupBy(*key).agg(F.max("_l").alias("_top"))
-    powered = scored.join(top, list(key)).withColumn("_e", F.exp(F.col("_l") - F.col("_top")))
+    powered = attach_by_key(scored, top, key).withColumn("_e", F.exp(F.col("_l") - F.col("_top")))
     total = powered.groupBy(*key).agg(F.sum("_e").alias("_total"))
-    return powered.join(total, list(key)).withColumn("weight", F.col("_e") / F.col("_total")).drop(
+    return attach_by_key(powered, total, key).withColumn("weight", F.col("_e") / F.col("_total")).drop(
         "_l", "_top", "_e", "_total"
     )
 
@@ -122,7 +124,7 @@ def attention_pool(
     scored = df.withColumn("_l", raised)
     top = scored.groupBy(*key).agg(F.max("_l").alias("_top"))
     return (
-        scored.join(top, list(key))
+        attach_by_key(scored, top, key)
         .groupBy(*key)
         .agg(vector_mean(features, F.exp(F.col("_l") - F.col("_top"))).alias("pooled"))
     )

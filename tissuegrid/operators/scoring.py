@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.ranking import bucketed_prefix_sum, split_points, top_by_value, value_bucket
 from ..functions.scalars import argmax
+from ..functions.skew import attach_by_key
 from ..session import cut
 
 
@@ -61,7 +62,7 @@ def top_k_instances(preds: DataFrame, frac: int = 10, bag: str = "bag_id", score
     sizes = instances.groupBy(bag).agg(
         F.greatest(F.lit(1), F.floor(F.count(F.lit(1)) / frac)).cast("bigint").alias("k")
     )
-    return top_by_value(instances.join(sizes, bag), score, "instance_id", "k", "rank", by=[bag])
+    return top_by_value(attach_by_key(instances, sizes, [bag]), score, "instance_id", "k", "rank", by=[bag])
 
 
 def regional_loss(
@@ -85,7 +86,7 @@ def regional_loss(
 
 def with_task_labels(preds: DataFrame, labels: DataFrame, bag: str = "bag_id", task: str = "task") -> DataFrame:
     """Predictions whose (bag, task) has a label; the others are skipped."""
-    return preds.join(labels, [bag, task])
+    return attach_by_key(preds, labels, [bag, task])
 
 
 def multitask_loss(

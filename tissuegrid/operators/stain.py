@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.hashing import laplace01, normal01, uniform01
+from ..functions.skew import attach_by_key
 from .augment import apply_draw
 
 CHANNELS = ("ch0", "ch1", "ch2")
@@ -67,7 +68,7 @@ def reinhard(
         value = (F.col(c) - F.col(f"{c}_mean")) * (F.col(f"{c}_target_std") / spread) + F.col(f"{c}_target_mean")
         moved[c] = F.floor(F.greatest(F.lit(0.0), F.least(value, F.lit(255.0)))).cast("int") if to_bytes else value
     out = [moved[c].alias(c) if c in moved else F.col(c) for c in pixels.columns]
-    return pixels.join(stats, key).select(*out)
+    return attach_by_key(pixels, stats, [key]).select(*out)
 
 
 def augment_with_prob(

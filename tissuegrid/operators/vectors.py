@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 
 from ..functions.ranking import hash_order
 from ..functions.scalars import active, gelu, positional_encoding
+from ..functions.skew import attach_by_key
 
 # Largest table of floats shipped to tasks inside a closure (64 MiB of doubles).
 CLOSURE_FLOATS = 8 * 1024 * 1024
@@ -60,7 +61,7 @@ def token_groups(
     if m < 1:
         raise ValueError("m must be at least 1")
     sizes = df.groupBy(*by).agg(F.floor(F.count(F.lit(1)) / m).alias("_per"))
-    ranked = hash_order(df, ids, seed, "_rn", by=by).join(sizes, list(by))
+    ranked = attach_by_key(hash_order(df, ids, seed, "_rn", by=by), sizes, by)
     group = F.when(
         F.col("_per") > 0, F.least(F.floor((F.col("_rn") - 1) / F.col("_per")), F.lit(m - 1))
     ).otherwise(F.lit(m - 1))

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import sampling_size
+from ..functions.skew import attach_by_key
 from ..operators import cohort, grid, mask, patches
 from ..operators.words import SLIDE, mask_shape, pack_mask
 from ..params import CleanParams, ForegroundParams, PatchParams, TilingParams
@@ -20,8 +21,9 @@ def foreground_mask(
 ) -> DataFrame:
     """The given mask where it covers enough of the slide, the triangle threshold elsewhere."""
     poor = grid.fill_ratio(mask_rows, p.min_foreground_ratio).where("needs_fallback").select(SLIDE)
-    good = mask_rows.join(poor, SLIDE, "left_anti").select(SLIDE, "r", "c", "v")
-    second = mask.triangle_threshold(gray.join(poor, SLIDE, "left_semi"), value)
+    poor = cut(poor, "poor")
+    good = attach_by_key(mask_rows, poor, [SLIDE], "left_anti", stored=True).select(SLIDE, "r", "c", "v")
+    second = mask.triangle_threshold(attach_by_key(gray, poor, [SLIDE], "left_semi", stored=True), value)
     return good.unionByName(second.select(SLIDE, "r", "c", "v"))
 
 
@@ -41,7 +43,7 @@ def sample_points(
         (F.col("full_h") / F.col("h")).alias("scale"),
         sampling_size(tiling.tile_size, F.col("mag"), tiling.reference_mag).alias("size"),
     )
-    boxes = grid.scale_bbox(grid.words_bbox(words).join(info, SLIDE), F.col("scale"))
+    boxes = grid.scale_bbox(grid.words_bbox(words).join(info, SLIDE), F.col("scale"))  # one row per slide
     points = grid.grid_points(boxes, F.col("size"), tiling.tile_overlap)
     kept = grid.coverage_filter(points, words, tiling.patch_foreground_ratio)
     return kept.select(SLIDE, "x", "y", "size", "scale")
@@ -115,9 +117,9 @@ class PatientDataset:
         return cohort.default_label(self.patients, self.labels(), "patient_id")
 
     def used_tiles(self) -> DataFrame:
-        return self.tiles.join(self.examples.select(SLIDE), SLIDE, "left_semi")
+        return attach_by_key(self.tiles, self.examples.select(SLIDE), [SLIDE], "left_semi", stored=True)
 
     def patches(self) -> DataFrame:
         """Patches of complete slides with ``patient_id`` and the ten placing integers."""
         made = patches.make_patches(self.used_tiles(), self.params.max_dim, self.params.overlap)
-        return made.join(self.examples.select(SLIDE, "patient_id"), SLIDE)
+        return attach_by_key(made, self.examples.select(SLIDE, "patient_id"), [SLIDE], stored=True)
