@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tissuegrid.operators import patches as pt
+from tissuegrid.operators import pooling
 
 
 def loop_starts(side, max_dim, overlap):
@@ -84,6 +85,10 @@ def test_coalesce_ways_agree(tiles, monkeypatch):
     few = pt.coalesce_cells(tiles)
     monkeypatch.setattr(pt, "MAX_REPEATED", 1)
     many = pt.coalesce_cells(tiles)
+    monkeypatch.setattr(pooling, "DIRECT_WIDTH", 1)
+    wide = pt.coalesce_cells(tiles)
+    rounded = lambda df: df.select(*pt.CELL, F.transform("features", lambda x: F.round(x, 9)).alias("f"))
+    assert rounded(many).exceptAll(rounded(wide)).isEmpty()
     assert few.exceptAll(many).isEmpty() and many.exceptAll(few).isEmpty()
 
 
@@ -109,3 +114,9 @@ def test_incomplete_patch_record_fails(spark):
     df = spark.createDataFrame([(1, 0, 0, 0, 0, 2, 3, 0, 0, None, 2)], patch)
     with pytest.raises(Exception, match="incomplete"):
         pt.patch_geometry(df).collect()
+
+
+def test_repeated_cells_of_unequal_width_fail(spark):
+    df = spark.createDataFrame([(1, 0, 0, [1.0, 2.0]), (1, 0, 0, [1.0, 2.0, 3.0])], "slide_id long, gx int, gy int, features array<double>")
+    with pytest.raises(Exception):
+        pt.coalesce_cells(df).collect()

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..functions.hashing import fast_normal01, uniform01
 from ..functions.ranking import hash_order
 from ..functions.scalars import active
-from .pooling import vector_sum
+from .pooling import vector_sum_of
 
 
 def apply_draw(p: float, seed: int, bag: Sequence[str], per: str = "bag") -> Column:
@@ -116,7 +116,7 @@ def dampen_blocks(
     means = (
         keyed.join(chosen.where(~F.col("_to_background")).select(*key), key, "left_semi")
         .groupBy(*key)
-        .agg(F.transform(vector_sum(features), lambda x: x / (block * block)).alias("_mean"))
+        .agg(F.transform(vector_sum_of(df, features), lambda x: x / (block * block)).alias("_mean"))
     )
     kind = df.schema[features].dataType
     if background is None:

@@ -19,7 +19,7 @@ from ..functions.ranking import bucketed_prefix_sum
 from ..functions.scalars import active
 from ..session import cut
 from .components import region_boxes
-from .pooling import vector_sum
+from .pooling import vector_sum_of
 from .words import SLIDE
 
 CELL = [SLIDE, "gx", "gy"]
@@ -48,13 +48,13 @@ def coalesce_cells(tiles: DataFrame, features: str = "features") -> DataFrame:
     through the aggregate; beyond ``MAX_REPEATED`` all vectors take one aggregate.
     """
     kind = tiles.schema[features].dataType
-    total = vector_sum(features).cast(kind).alias(features)
     repeated = cut(
         tiles.groupBy(*CELL).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > 1).select(*CELL), "repeated"
     )
     n = repeated.count()
     if n == 0:
         return tiles.select(*CELL, features)
+    total = vector_sum_of(tiles, features).cast(kind).alias(features)
     if n > MAX_REPEATED:
         return tiles.groupBy(*CELL).agg(total)
     few = F.broadcast(repeated)

@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 from ..functions.skew import attach_by_key
 
 EPSILON = 1e-7
+# Vectors up to this width are summed element by element in many small groups.
+DIRECT_WIDTH = 128
 
 
 def _vector(features: str | Column) -> Column:
@@ -32,6 +34,23 @@ def vector_sum(features) -> Column:
     return vector_to_array(Summarizer.sum(_vector(features)))
 
 
+def vector_sum_of(df: DataFrame, features: str) -> Column:
+    """Element-wise sum for very many small groups.
+
+    One built-in sum per element keeps the aggregate in the hash table that the
+    summarizer leaves after a few groups. Wide vectors use the summarizer.
+    """
+    first = df.select(F.size(features).alias("d")).first()
+    if first is None or not 0 < first["d"] <= DIRECT_WIDTH:
+        return vector_sum(features)
+    width = first["d"]
+    total = F.array(*[F.sum(F.col(features)[i].cast("double")) for i in range(width)])
+    same = (F.min(F.size(features)) == width) & (F.max(F.size(features)) == width)
+    return F.when(same, total).otherwise(
+        F.raise_error(F.lit("vectors have different width")).cast("array<double>")
+    )
+
+
 def vector_mean(features, weight: Column | None = None) -> Column:
     v = _vector(features)
     return vector_to_array(Summarizer.mean(v, weight) if weight is not None else Summarizer.mean(v))
