@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, language, mixing, quality, tokens, toxicity
+from . import fingerprints, language, mixing, quality, simhash, tokens, toxicity, vectors
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -35,6 +35,11 @@ def vocabulary() -> str:
     return public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
 
+@query
+def op1_simhash(spark, sf_dir):
+    return simhash.near_groups(table(spark, sf_dir, "documents"), **DOC)
+
+
 @query
 def op3_fingerprints(spark, sf_dir):
     found = fingerprints.compare_with_next(table(spark, sf_dir, "documents"), **DOC)
@@ -70,6 +75,13 @@ def op6_toxicity(spark, sf_dir):
     return toxicity.score_toxicity(docs, model, **DOC).select("doc_id", (fold(5) == 0).alias("held_out"), "score", "predicted")
 
 
+@query
+def op8_embeddings(spark, sf_dir):
+    return vectors.near_tiles(
+        table(spark, sf_dir, "embeddings"), id_col="vec_id", group_col="label", vector_col="embedding"
+    )
+
+
 @query
 def op9_tokens(spark, sf_dir):
     encoded = tokens.encode_events(table(spark, sf_dir, "documents"), vocabulary(), **DOC)
