@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, language, mixing, quality, simhash, tokens, toxicity, vectors
+from . import fingerprints, language, lines, mixing, quality, simhash, suffixes, tokens, toxicity, vectors
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -40,6 +40,36 @@ def op1_simhash(spark, sf_dir):
     return simhash.near_groups(table(spark, sf_dir, "documents"), **DOC)
 
 
+@query
+def op2_lines(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    found = lines.remove_boilerplate(docs, site_col="source", **DOC)
+    return found.select("doc_id", "n_lines", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+ORACLES["op2_lines"] = r"""
+WITH cut AS (
+  SELECT doc_id, source, string_split(text, chr(10)) AS parts FROM documents WHERE text IS NOT NULL
+), flat AS (
+  SELECT doc_id, source, unnest(parts) AS line, generate_subscripts(parts, 1) AS pos FROM cut
+), keyed AS (
+  SELECT *, trim(line, ' ' || chr(9) || chr(11) || chr(12) || chr(13)) AS key,
+         len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) >= 3 AS counts FROM flat
+), spread AS (
+  SELECT key, min(doc_id) AS first FROM keyed WHERE counts GROUP BY key HAVING count(DISTINCT source) >= 10
+), marked AS (
+  SELECT k.doc_id, k.pos, k.line, (k.counts AND s.key IS NOT NULL AND k.doc_id <> s.first) AS gone
+  FROM keyed k LEFT JOIN spread s ON k.key = s.key
+), joined AS (
+  SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_removed,
+         coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '') AS kept FROM marked GROUP BY doc_id
+)
+SELECT d.doc_id, coalesce(j.n_lines, 0)::INTEGER AS n_lines, coalesce(j.n_removed, 0)::INTEGER AS n_removed,
+       sha256(j.kept) AS kept_sha256
+FROM documents d LEFT JOIN joined j ON d.doc_id = j.doc_id
+"""
+
+
 @query
 def op3_fingerprints(spark, sf_dir):
     found = fingerprints.compare_with_next(table(spark, sf_dir, "documents"), **DOC)
@@ -75,6 +105,12 @@ def op6_toxicity(spark, sf_dir):
     return toxicity.score_toxicity(docs, model, **DOC).select("doc_id", (fold(5) == 0).alias("held_out"), "score", "predicted")
 
 
+@query
+def op7_repeats(spark, sf_dir):
+    found = suffixes.remove_repeats(table(spark, sf_dir, "documents"), **DOC)
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 @query
 def op8_embeddings(spark, sf_dir):
     return vectors.near_tiles(
