@@ -52,25 +52,14 @@ def spread_lines(
     return sure.select(*keys, "_first").unionByName(near.join(exact, keys).select(*keys, "_first"))
 
 
-def remove_boilerplate(
-    events: DataFrame,
-    *,
-    id_col: str = "event_id",
-    text_col: str = "event",
-    site_col: str = "site",
-    min_sites: int = 10,
-    min_words: int = 3,
-) -> DataFrame:
-    """``(id_col, n_lines int, n_removed int, kept string)``, one row per input row.
-
-    Lines are cut at line feeds and compared without white space at their ends; those of
-    fewer than ``min_words`` words are never boilerplate. A line on ``min_sites`` distinct
-    sites or more stays in the record of least id only (all its occurrences there). Null texts stay
-    null with no lines; an empty text has one empty line. Rows that repeat an id keep or
-    lose lines alike; a row with a null id is never the first unless no row has an id.
-    """
-    rows = events.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), F.col(site_col).cast("string").alias("_site"))
-    rows = rows.withColumn("_t", F.xxhash64("_text"))
+def _stripped(events: DataFrame, id_col: str, text_col: str, site_col: str, min_sites: int, min_words: int) -> DataFrame:
+    """``(_row, _id, n_lines, n_removed, _kept)`` with the whole input row as ``_row``."""
+    rows = events.select(
+        F.struct(*[F.col(c) for c in events.columns]).alias("_row"),
+        F.col(id_col).alias("_id"),
+        F.col(text_col).alias("_text"),
+        F.col(site_col).cast("string").alias("_site"),
+    ).withColumn("_t", F.xxhash64("_text"))
     line = F.btrim("_line", F.lit(_SPACE))
     words = F.regexp_count(F.col("_line"), F.lit(r"[^\x20\x09-\x0D]+"))
     lines = (
@@ -87,14 +76,47 @@ def remove_boilerplate(
     )
     joined = rows.join(gone, F.col("_id").eqNullSafe(F.col("_i")) & (F.col("_t") == F.col("_u")), "left")
     parts = F.split("_text", "\n")
-    n = F.when(F.col("_text").isNull(), 0).otherwise(F.size(parts))
     left = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col("_gone"))
-    kept = F.when(F.col("_gone").isNull(), F.col("_text")).otherwise(
-        F.array_join(F.transform(left, lambda i: F.get(parts, i)), "\n")
-    )
+    kept = F.array_join(F.transform(left, lambda i: F.get(parts, i)), "\n")
     return joined.select(
-        F.col("_id").alias(id_col),
-        n.alias("n_lines"),
+        "_row",
+        "_id",
+        F.when(F.col("_text").isNull(), 0).otherwise(F.size(parts)).alias("n_lines"),
         F.when(F.col("_gone").isNull(), 0).otherwise(F.size("_gone")).alias("n_removed"),
-        kept.alias("kept"),
+        F.when(F.col("_gone").isNull(), F.col("_text")).otherwise(kept).alias("_kept"),
     )
+
+
+def remove_boilerplate(
+    events: DataFrame,
+    *,
+    id_col: str = "event_id",
+    text_col: str = "event",
+    site_col: str = "site",
+    min_sites: int = 10,
+    min_words: int = 3,
+) -> DataFrame:
+    """``(id_col, n_lines int, n_removed int, kept string)``, one row per input row.
+
+    Lines are cut at line feeds and compared without white space at their ends; those of
+    fewer than ``min_words`` words are never boilerplate. A line on ``min_sites`` distinct
+    sites or more stays in the record of least id only (all its occurrences there). Null texts stay
+    null with no lines; an empty text has one empty line. Rows that repeat an id keep or
+    lose lines alike; a row with a null id is never the first unless no row has an id.
+    """
+    found = _stripped(events, id_col, text_col, site_col, min_sites, min_words)
+    return found.select(F.col("_id").alias(id_col), "n_lines", "n_removed", F.col("_kept").alias("kept"))
+
+
+def strip_boilerplate(
+    events: DataFrame,
+    *,
+    id_col: str = "event_id",
+    text_col: str = "event",
+    site_col: str = "site",
+    min_sites: int = 10,
+    min_words: int = 3,
+) -> DataFrame:
+    """All rows and columns of ``events``, the text without the lines that ``remove_boilerplate`` removes."""
+    found = _stripped(events, id_col, text_col, site_col, min_sites, min_words)
+    return found.select(*[F.col("_kept").alias(c) if c == text_col else F.col("_row")[c].alias(c) for c in events.columns])

@@ -218,6 +218,25 @@ def mix_cohorts(
     )
 
 
+def take_mix(
+    slides: DataFrame, *, id_col: str = "slide_id", cohort_col: str = "cohort", size_col: str = "n_tiles", **how
+) -> DataFrame:
+    """All columns of ``slides``, each row as often as ``mix_cohorts`` takes it (``how``: its other parameters).
+
+    Slides of size 0 are not taken. Rows that repeat an id are matched in the order of cohort and size.
+    """
+    mixed = mix_cohorts(slides, id_col=id_col, cohort_col=cohort_col, size_col=size_col, **how)
+    turn = lambda i, c, n: F.row_number().over(Window.partitionBy(i).orderBy(c, n))
+    counted = mixed.select(
+        F.col(id_col).alias("_i"), "copies", turn(id_col, F.col(cohort_col), F.col("size")).alias("_k")
+    )
+    size = F.greatest(F.coalesce(F.col(size_col).cast("long"), F.lit(0)), F.lit(0))
+    numbered = slides.withColumn("_turn", turn(id_col, F.col(cohort_col), size))
+    both = numbered.join(counted, F.col(id_col).eqNullSafe(F.col("_i")) & (F.col("_turn") == F.col("_k")))
+    repeated = both.withColumn("_copy", F.explode(F.array_repeat(F.lit(1), F.col("copies"))))
+    return repeated.select(*[numbered[c] for c in slides.columns])
+
+
 def word_count(text: str | Column) -> Column:
     """Number of ``[^\\x20\\x09-\\x0D]+`` runs; 0 for null."""
     col = F.col(text) if isinstance(text, str) else text

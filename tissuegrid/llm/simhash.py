@@ -157,3 +157,13 @@ def near_groups(events: DataFrame, *, id_col: str = "event_id", text_col: str =
     return marked.join(found, "_fp").select(
         id_col, F.lower(F.lpad(F.hex("_fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
+
+
+def keep_one(events: DataFrame, *, id_col: str = "event_id", text_col: str = "event") -> DataFrame:
+    """Of each near group the row of least id, with all columns; of rows that repeat that id, any one.
+
+    Rows with a null id cannot be told apart and stay.
+    """
+    first = near_groups(events, id_col=id_col, text_col=text_col).select(F.col("component_id").alias(id_col)).distinct()
+    named = events.join(first, id_col, "left_semi").dropDuplicates([id_col])
+    return named.unionByName(events.where(F.col(id_col).isNull()))

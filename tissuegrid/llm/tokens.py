@@ -219,9 +219,15 @@ class _Merged(dict):
 
 
 def encode_events(
-    events: DataFrame, vocabulary: str, *, id_col: str = "event_id", text_col: str = "event", offsets: bool = False
+    events: DataFrame,
+    vocabulary: str,
+    *,
+    id_col: str = "event_id",
+    text_col: str = "event",
+    offsets: bool = False,
+    keep: tuple[str, ...] = (),
 ) -> DataFrame:
-    """``(id_col, n_tokens long, ids binary)``: ids as little-endian unsigned 32-bit numbers.
+    """``(id_col, *keep, n_tokens long, ids binary)``: ids as little-endian unsigned 32-bit numbers.
 
     ``vocabulary`` is the path of a rank file at every worker. With ``offsets`` a column
     ``ends`` (same packing) holds the byte in the text at which each token ends. Null
@@ -251,7 +257,7 @@ def encode_events(
         return work
 
     fields = [("n_tokens", "long"), ("ids", "binary")] + [("ends", "binary")] * offsets
-    return map_texts(events, [id_col], text_col, fields, make)
+    return map_texts(events, [id_col, *keep], text_col, fields, make)
 
 
 def _codes(text: str) -> np.ndarray:

@@ -226,6 +226,25 @@ def fit_toxicity(
     return ToxicityModel(model.toxic, model.ordinary, odds, weights, base)
 
 
+def _scorer(model: ToxicityModel):
+    """A function from texts to their worst window's log odds, scores and predictions."""
+    worst = window_scorer(model)
+
+    def one(found: list[float]) -> float:
+        if not model.weights:
+            return model.base
+        bias, *weights = model.weights
+        odds = bias + sum(w * x for w, x in zip(weights, found, strict=True))
+        return 1.0 / (1.0 + math.exp(-max(-50.0, min(50.0, odds))))
+
+    def work(bodies):
+        found = [worst(b) for b in bodies]
+        scores = [one(s) for s in found]
+        return [f[0] for f in found], scores, [int(s >= 0.5) for s in scores]
+
+    return work
+
+
 def score_toxicity(
     events: DataFrame, model: ToxicityModel, *, id_col: str = "event_id", text_col: str = "event"
 ) -> DataFrame:
@@ -236,23 +255,17 @@ def score_toxicity(
     ``worst_window`` is 0 and they score low. Without a fitted dictionary the score is
     the base rate.
     """
+    fields = [("worst_window", "double"), ("score", "double"), ("predicted", "int")]
+    return map_texts(events, [id_col], text_col, fields, lambda: _scorer(model))
 
-    def work_of():
-        worst = window_scorer(model)
 
-        def one(found: list[float]) -> float:
-            if not model.weights:
-                return model.base
-            bias, *weights = model.weights
-            odds = bias + sum(w * x for w, x in zip(weights, found, strict=True))
-            return 1.0 / (1.0 + math.exp(-max(-50.0, min(50.0, odds))))
+def keep_clean(events: DataFrame, model: ToxicityModel, *, text_col: str = "event") -> DataFrame:
+    """The rows, with all their columns, that ``score_toxicity`` does not predict toxic."""
 
-        def work(bodies):
-            found = [worst(b) for b in bodies]
-            scores = [one(s) for s in found]
-            return [f[0] for f in found], scores, [int(s >= 0.5) for s in scores]
+    def make():
+        work = _scorer(model)
+        return lambda bodies: [work(bodies)[2]]
 
-        return work
-
-    fields = [("worst_window", "double"), ("score", "double"), ("predicted", "int")]
-    return map_texts(events, [id_col], text_col, fields, work_of)
+    # a struct keeps any column name apart from the verdict
+    row = F.struct(*[F.col(c) for c in events.columns]).alias("_row")
+    return map_texts(events, [row], text_col, [("_toxic", "int")], make).where("_toxic = 0").select("_row.*")
