@@ -231,10 +231,11 @@ def take_mix(
         F.col(id_col).alias("_i"), "copies", turn(id_col, F.col(cohort_col), F.col("size")).alias("_k")
     )
     size = F.greatest(F.coalesce(F.col(size_col).cast("long"), F.lit(0)), F.lit(0))
-    numbered = slides.withColumn("_turn", turn(id_col, F.col(cohort_col), size))
-    both = numbered.join(counted, F.col(id_col).eqNullSafe(F.col("_i")) & (F.col("_turn") == F.col("_k")))
-    repeated = both.withColumn("_copy", F.explode(F.array_repeat(F.lit(1), F.col("copies"))))
-    return repeated.select(*[numbered[c] for c in slides.columns])
+    # a struct keeps any column name apart from ours
+    rows = slides.select(F.struct(*[F.col(c) for c in slides.columns]).alias("_row"), F.col(id_col).alias("_id"), F.col(cohort_col).alias("_c"), size.alias("_n"))
+    numbered = rows.withColumn("_turn", turn("_id", F.col("_c"), F.col("_n")))
+    both = numbered.join(counted, F.col("_id").eqNullSafe(F.col("_i")) & (F.col("_turn") == F.col("_k")))
+    return both.select("_row", F.explode(F.array_repeat(F.lit(1), F.col("copies")))).select("_row.*")
 
 
 def word_count(text: str | Column) -> Column:
