@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from ..session import cut
 
 # rows of one cohort that meet in one task, and residuals that meet on the next level
-GROUP_ROWS = 20_000
+GROUP_ROWS = 2_000
 FAN_IN = 4_096
 
 
