@@ -89,18 +89,52 @@ def test_unknown_level_is_refused():
         ev.event_record(None, None, None, level="fatal")
 
 
-def test_ingest_skips_known_slides_and_repeats_cleanly(spark, tmp_path):
+def test_ingest_keeps_every_delivery_of_a_slide(spark, tmp_path):
     src, sink, state = (str(tmp_path / n) for n in ("src", "sink", "state"))
-    one = spark.createDataFrame([(1, 0, 0, [1.0]), (2, 0, 0, [2.0])], SCHEMA)
-    ts.write_tiles(one, src)
-    jobs.ingest_tiles_stream(spark, src, sink, state, one.schema)
-    # the second delivery repeats slide 2 and brings slide 3
-    two = spark.createDataFrame([(2, 0, 0, [9.0]), (3, 0, 0, [3.0])], SCHEMA)
+    cells = [(1, 0, k, [float(k)]) for k in range(8)]
+    one = spark.createDataFrame(cells, SCHEMA)
+    ts.write_tiles(one.repartition(4), src)
+    jobs.ingest_tiles_stream(spark, src, sink, state, one.schema, max_files=1)
+    # the second delivery brings new cells of the same slide
+    two = spark.createDataFrame([(1, 1, 0, [9.0]), (3, 0, 0, [3.0])], SCHEMA)
     ts.write_tiles(two, src, mode="append")
-    jobs.ingest_tiles_stream(spark, src, sink, state, one.schema)
-    jobs.ingest_tiles_stream(spark, src, sink, state, one.schema)
-    got = sorted((r.slide_id, r.features[0]) for r in spark.read.parquet(sink).collect())
-    assert got == [(1, 1.0), (2, 2.0), (3, 3.0)]
+    jobs.ingest_tiles_stream(spark, src, sink, state, one.schema, max_files=1)
+    jobs.ingest_tiles_stream(spark, src, sink, state, one.schema, max_files=1)
+    got = sorted((r.slide_id, r.gx, r.gy) for r in spark.read.parquet(sink).collect())
+    assert got == sorted([(1, 0, k) for k in range(8)] + [(1, 1, 0), (3, 0, 0)])
+
+
+def test_ingest_leaves_out_complete_slides(spark, tmp_path):
+    src, sink, state = (str(tmp_path / n) for n in ("src", "sink", "state"))
+    tiles = spark.createDataFrame([(2, 0, 0, [9.0]), (3, 0, 0, [3.0])], SCHEMA)
+    ts.write_tiles(tiles, src)
+    done = spark.createDataFrame([(2,), (2,)], "slide_id int")
+    jobs.ingest_tiles_stream(spark, src, sink, state, tiles.schema, complete=done)
+    assert [r.slide_id for r in spark.read.parquet(sink).collect()] == [3]
+
+
+def test_misaligned_slides_are_not_written(spark, tmp_path):
+    coords = spark.createDataFrame([(1, 0, 0), (1, 0, 1), (2, 0, 0), (3, 0, 0)], "slide_id int, gx int, gy int")
+    feats = spark.createDataFrame([(1, 0, 0, [1.0]), (1, 0, 1, [2.0]), (2, 0, 0, [1.0]), (2, 0, 1, [1.0])], SCHEMA)
+    refused = ts.save_slides(coords, feats, str(tmp_path / "t"))
+    assert {(r.slide_id, r.n_coords, r.n_features) for r in refused.collect()} == {(2, 1, 2), (3, 1, 0)}
+    assert sorted((r.slide_id, r.gy) for r in ts.read_tiles(spark, str(tmp_path / "t")).collect()) == [(1, 0), (1, 1)]
+
+
+def test_event_times_are_utc_in_any_session(spark, tmp_path):
+    old = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+        df = spark.sql("SELECT timestamp '2024-01-01 12:00:00 UTC' AS t")
+        line = df.select(ev.event_record(F.lit("e"), F.lit("ok"), F.col("t")).alias("value"))
+        assert '"2024-01-01T12:00:00.000000"' in line.first()["value"]
+        line.unionByName(spark.sql("SELECT 'no json' AS value")).coalesce(1).write.text(str(tmp_path / "log"))
+        got = ev.read_events(spark, str(tmp_path / "log"))
+        assert got.count() == 1
+        assert got.select(F.unix_timestamp("ts")).first()[0] == 1704110400
+        assert [r["value"] for r in ev.malformed_events(spark, str(tmp_path / "log")).collect()] == ["no json"]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old)
 
 
 def test_event_rates_drop_late_rows(spark, tmp_path):

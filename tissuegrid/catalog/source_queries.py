@@ -15,12 +15,6 @@ from . import fixtures as fx
 from .registry import query
 
 
-@query("s1_list_files")
-def s1(spark, path):
-    found = fs.list_files(spark, path, ".parquet")
-    return found.select(F.substring_index("fkey", "/", -1).alias("name"), "size")
-
-
 @query(
     "s2_path_parts",
     fx.with_sql(
@@ -75,7 +69,9 @@ def s3(spark, path):
 
 def _stored_tiles(spark, path):
     target = scratch_path(spark, "tiles")
-    ts.write_tiles(fx.tiles(spark, path).select("slide_id", "gx", "gy", "features"), target)
+    # dealt out so that every slide lies in several files
+    tiles = fx.tiles(spark, path).select("slide_id", "gx", "gy", "features").repartition(6)
+    ts.write_tiles(tiles, target)
     return target
 
 
@@ -91,13 +87,18 @@ def s4(spark, path):
     "s5_write_tiles",
     fx.with_sql(
         """SELECT slide_id, gx, gy, len(features) AS width, round(list_sum(CAST(features AS DOUBLE[])) + 0.0, 5) AS total
-           FROM fx_tiles""",
+           FROM fx_tiles WHERE slide_id % 3 <> 0""",
         fx.TILES,
     ),
 )
 def s5(spark, path):
+    # a third of the slides lacks a feature row and is refused
+    tiles = fx.tiles(spark, path)
+    feats = tiles.where((F.col("slide_id") % 3 != 0) | (F.col("vec_id") % 50 != 7))
+    target = scratch_path(spark, "tiles")
+    ts.save_slides(tiles, feats.select("slide_id", "gx", "gy", "features"), target)
     total = F.aggregate(F.col("features").cast("array<double>"), F.lit(0.0), lambda a, x: a + x)
-    return ts.read_tiles(spark, _stored_tiles(spark, path)).select(
+    return ts.read_tiles(spark, target).select(
         "slide_id",
         "gx",
         "gy",
@@ -236,7 +237,8 @@ def x1(spark, path):
     src = _stored_tiles(spark, path)
     sink, state = scratch_path(spark, "sink"), scratch_path(spark, "state")
     schema = spark.read.parquet(src).schema
-    jobs.ingest_tiles_stream(spark, src, sink, state, schema)
+    # one file to a batch, so that slides cross batches
+    jobs.ingest_tiles_stream(spark, src, sink, state, schema, max_files=1)
     # a second run over the same source finds nothing new
     jobs.ingest_tiles_stream(spark, src, sink, state, schema)
     total = F.aggregate(F.col("features").cast("array<double>"), F.lit(0.0), lambda a, x: a + x)

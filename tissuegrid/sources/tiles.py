@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import cut
+
 
 def read_tiles(spark: SparkSession, path: str, tile_idx: int | None = None) -> DataFrame:
     """Stored tiles; columns not selected are not read. ``tile_idx`` picks one position of every slide."""
@@ -43,3 +45,14 @@ def alignment(coords: DataFrame, feats: DataFrame) -> DataFrame:
 def assert_aligned(coords: DataFrame, feats: DataFrame) -> DataFrame:
     """Slides whose counts differ; these are not saved."""
     return alignment(coords, feats).where(~F.col("aligned")).drop("aligned")
+
+
+def save_slides(coords: DataFrame, feats: DataFrame, path: str, mode: str = "error") -> DataFrame:
+    """Write the tiles of aligned slides only; returns the slides that were refused, with both counts.
+
+    ``feats`` has ``(slide_id, gx, gy, features)``; a slide is saved if it has as many
+    feature rows as coordinates.
+    """
+    refused = cut(assert_aligned(coords, feats), "refused")
+    write_tiles(feats.join(refused.select("slide_id"), "slide_id", "left_anti"), path, mode)
+    return refused

@@ -8,26 +8,28 @@ from pyspark.sql import types as T
 
 
 def ingest_tiles_stream(
-    spark: SparkSession, src: str, sink: str, checkpoint: str, schema: T.StructType, max_files: int = 1000
+    spark: SparkSession,
+    src: str,
+    sink: str,
+    checkpoint: str,
+    schema: T.StructType,
+    max_files: int = 1000,
+    complete: DataFrame | None = None,
 ) -> None:
     """Append new tile files to the store once, then stop.
 
-    The checkpoint remembers which files were seen. Each batch leaves out slides
-    that an earlier batch stored and overwrites its own folder, so a repeated batch
-    changes nothing.
+    The checkpoint remembers which files were seen and the sink which batches were
+    committed, so each tile of each file is stored exactly once, however many batches a
+    slide's files fall into. ``complete`` lists slides (``slide_id``) that an earlier run
+    finished; their tiles are left out when they are delivered again.
     """
-
-    def store(batch: DataFrame, batch_id: int) -> None:
-        session = batch.sparkSession
-        known = _stored_slides(session, sink, batch_id)
-        fresh = batch if known is None else batch.join(known, "slide_id", "left_anti")
-        fresh.write.mode("overwrite").parquet(f"{sink}/batch={batch_id}")
-
+    tiles = spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files).parquet(src)
+    if complete is not None:
+        tiles = tiles.join(complete.select("slide_id").distinct(), "slide_id", "left_anti")
     query = (
-        spark.readStream.schema(schema)
-        .option("maxFilesPerTrigger", max_files)
-        .parquet(src)
-        .writeStream.foreachBatch(store)
+        tiles.writeStream.outputMode("append")
+        .format("parquet")
+        .option("path", sink)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()
@@ -35,15 +37,6 @@ def ingest_tiles_stream(
     query.awaitTermination()
 
 
-def _stored_slides(spark: SparkSession, sink: str, batch_id: int) -> DataFrame | None:
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(sink)
-    if not path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
-        return None
-    stored = spark.read.parquet(sink)
-    # the batch folder is a partition, so earlier batches are picked without reading this one
-    return stored.where(F.col("batch") < batch_id).select("slide_id").distinct()
-
-
 def event_rates(events: DataFrame, watermark: str = "10 minutes", window: str = "5 minutes") -> DataFrame:
     """Counts by window, event and status. On a stream, rows later than the watermark are dropped."""
     return (
