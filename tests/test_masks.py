@@ -283,3 +283,19 @@ def test_grid_points_edges(spark):
     assert got == [(1, 0, 0), (1, 5, 0)]
     with pytest.raises(ValueError):
         gr.grid_points(df, F.lit(5), 1.0)
+
+
+def test_a_long_u_settles_in_few_rounds(spark, tmp_path, monkeypatch):
+    """Labels along a U of 500 blocks per arm: minimum propagation would need about 500 rounds."""
+    from tissuegrid.functions import graph
+
+    n = 500
+    # the arms start apart and meet at the bottom
+    chain = [2 * i for i in range(n)] + [2 * i + 1 for i in reversed(range(n))]
+    edges = spark.createDataFrame([(7, a, b) for a, b in zip(chain, chain[1:])], "slide_id int, a long, b long")
+    stored = []
+    keep = graph.cut
+    monkeypatch.setattr(graph, "cut", lambda df, label="cut": stored.append(label) or keep(df, label))
+    roots = cc.merge_labels(edges).collect()
+    assert len(roots) == 2 * n - 1 and {r["root"] for r in roots} == {0}
+    assert stored.count("small-star") <= 15

@@ -107,6 +107,54 @@ def mask(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+# --- wide sparse grids: a bar of pixels for every line item ----------------
+
+WIDE_H, WIDE_W = 600, 320
+# 600 x 320 cells, more than two blocks high and five words wide; about 1,200 bars a slide at any scale
+WIDE = f"""fx_wide AS MATERIALIZED (
+  SELECT DISTINCT slide_id, CAST(CASE WHEN upright THEN r0 + k ELSE r0 END AS INT) AS r,
+         CAST(CASE WHEN upright THEN c0 ELSE c0 + k END AS INT) AS c
+  FROM (SELECT *, unnest(range(0, len)) AS k FROM (
+    SELECT l_orderkey % 50 + 50 * (l_suppkey // 100) AS slide_id, l_linenumber % 2 = 0 AS upright,
+           (l_partkey * 37 + l_orderkey * 11) % {WIDE_H - 30} AS r0, (l_partkey * 91 + l_orderkey * 7 + l_linenumber) % {WIDE_W - 30} AS c0,
+           CAST(l_quantity AS BIGINT) // 2 + 1 AS len FROM lineitem) a) b)"""
+
+
+def wide(spark: SparkSession, path: str) -> DataFrame:
+    o, p, n = F.col("l_orderkey"), F.col("l_partkey"), F.col("l_linenumber")
+    bars = table(spark, path, "lineitem").select(
+        (o % 50 + 50 * F.floor(F.col("l_suppkey") / 100)).alias("slide_id"),
+        (n % 2 == 0).alias("upright"),
+        ((p * 37 + o * 11) % (WIDE_H - 30)).alias("r0"),
+        ((p * 91 + o * 7 + n) % (WIDE_W - 30)).alias("c0"),
+        F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor(F.col("l_quantity").cast("bigint") / 2))).alias("k"),
+    )
+    up, k = F.col("upright"), F.col("k")
+    return bars.select(
+        "slide_id",
+        F.when(up, F.col("r0") + k).otherwise(F.col("r0")).cast("int").alias("r"),
+        F.when(up, F.col("c0")).otherwise(F.col("c0") + k).cast("int").alias("c"),
+    ).distinct()
+
+
+# the same bars as a full mask, on the slides with a number divisible by ten
+WIDE_MASK = f"""wide_mask AS MATERIALIZED (
+  SELECT g.slide_id, g.r, g.c, CASE WHEN w.r IS NULL THEN 0 ELSE 1 END AS v
+  FROM (SELECT slide_id, CAST(r AS INT) AS r, CAST(c AS INT) AS c FROM (SELECT DISTINCT slide_id FROM fx_wide WHERE slide_id % 10 = 0) s
+        CROSS JOIN range({WIDE_H}) AS tr(r) CROSS JOIN range({WIDE_W}) AS tc(c)) g
+  LEFT JOIN fx_wide w ON w.slide_id = g.slide_id AND w.r = g.r AND w.c = g.c)"""
+
+
+def wide_mask(spark: SparkSession, path: str) -> DataFrame:
+    cells = wide(spark, path).where(F.col("slide_id") % 10 == 0)
+    grid = (
+        cells.select("slide_id").distinct()
+        .select("slide_id", F.explode(F.sequence(F.lit(0), F.lit(WIDE_H - 1))).alias("r"))
+        .select("slide_id", "r", F.explode(F.sequence(F.lit(0), F.lit(WIDE_W - 1))).alias("c"))
+    )
+    return grid.join(cells.withColumn("v", F.lit(1)), ["slide_id", "r", "c"], "left").withColumn("v", F.coalesce("v", F.lit(0)))
+
+
 # --- slide metadata from orders (slides) and customers (patients) ----------
 
 META = """fx_slide_meta AS MATERIALIZED (

@@ -290,17 +290,15 @@ def a21(spark, path):
 # --- graph steps -----------------------------------------------------------
 
 
-def _boxes_sql(conn: int) -> str:
-    s = Steps(fx.MASK)
-    on = s.add("SELECT slide_id, r, c FROM fx_mask WHERE v = 1")
-    boxes = s.boxes(s.runs(on, conn))
+def _boxes_sql(conn: int, table: str = fx.MASK, cells: str = "SELECT slide_id, r, c FROM fx_mask WHERE v = 1") -> str:
+    s = Steps(table)
+    boxes = s.boxes(s.runs(s.add(cells), conn))
     return s.text(f"SELECT slide_id, region_id, r0, c0, r1, c1, area FROM {boxes}")
 
 
-def _components_sql() -> str:
-    s = Steps(fx.MASK)
-    on = s.add("SELECT slide_id, r, c FROM fx_mask WHERE v = 1")
-    runs = s.runs(on, 8)
+def _components_sql(table: str = fx.MASK, cells: str = "SELECT slide_id, r, c FROM fx_mask WHERE v = 1") -> str:
+    s = Steps(table)
+    runs = s.runs(s.add(cells), 8)
     boxes = s.boxes(runs)
     return s.text(
         f"""SELECT n.slide_id, n.r, CAST(unnest(range(n.c0, n.c1 + 1)) AS INT) AS c, b.region_id
@@ -308,6 +306,39 @@ def _components_sql() -> str:
     )
 
 
+ALL_WIDE = "SELECT slide_id, r, c FROM fx_wide"
+
+
+@query("r1_wide_components", _components_sql(fx.WIDE, ALL_WIDE))
+def r1_wide(spark, path):
+    return cc.connected_components(fx.wide(spark, path))
+
+
+@query("r2_wide_region_boxes", _boxes_sql(8, fx.WIDE, ALL_WIDE))
+def r2_wide(spark, path):
+    return cc.region_boxes(fx.wide(spark, path))
+
+
+def _wide_sql(step) -> str:
+    s = Steps(fx.WIDE, fx.WIDE_MASK)
+    return s.text(f"SELECT * FROM {step(s)}")
+
+
+@query("r4_wide_fill_holes", _wide_sql(lambda s: s.fill(s.dilate("wide_mask", 4))))
+def r4_wide(spark, path):
+    return mk.fill_holes(mk.dilate(fx.wide_mask(spark, path), 4))
+
+
+@query("w7_wide_dilate", _wide_sql(lambda s: s.dilate("wide_mask", 70)))
+def w7_wide(spark, path):
+    return mk.dilate(fx.wide_mask(spark, path), 70)
+
+
+@query("w8_wide_closing", _wide_sql(lambda s: s.closing("wide_mask", 9)))
+def w8_wide(spark, path):
+    return mk.closing(fx.wide_mask(spark, path), 9)
+
+
 @query("r1_mask_components", _components_sql())
 def r1_mask(spark, path):
     return cc.connected_components(fx.mask(spark, path).where(F.col("v") == 1))
@@ -339,10 +370,10 @@ def r5(spark, path):
     return mk.clear_edges(mk.dilate(fx.mask(spark, path), 13), 5)
 
 
-def _clean(s: Steps) -> str:
+def _clean(s: Steps, src: str = "fx_mask") -> str:
     p = CLEAN
     return s.clean(
-        "fx_mask",
+        src,
         p.opening_kernel,
         p.square_fill_kernel,
         p.square_dilation_kernel,
@@ -377,8 +408,15 @@ def _slides(spark, path):
 
 
 def _sample_sql() -> str:
-    s = Steps(fx.MASK)
-    clean = _clean(s)
+    s = Steps(fx.MASK, GRAY_DOUBLE)
+    # slides with a number divisible by five have no mask
+    good = s.add("SELECT slide_id FROM fx_mask WHERE slide_id % 5 <> 0 GROUP BY slide_id HAVING avg(v) >= 0.15")
+    second = s.add("WITH " + TRIANGLE[2:])
+    start = s.add(
+        f"SELECT slide_id, r, c, v FROM fx_mask WHERE slide_id IN (SELECT slide_id FROM {good}) "
+        f"UNION ALL SELECT slide_id, r, c, v FROM {second} WHERE slide_id NOT IN (SELECT slide_id FROM {good})"
+    )
+    clean = _clean(s, start)
     s.parts.append(BOX.replace("fx_mask", clean))
     s.parts += [SCALED, POINTS, _coverage_sql("points", clean)]
     return s.text(f"SELECT slide_id, x, y, {SIZE} AS size, CAST({SCALE} AS DOUBLE) AS scale FROM kept")
@@ -386,4 +424,5 @@ def _sample_sql() -> str:
 
 @query("r8_sample_points", _sample_sql())
 def r8(spark, path):
-    return pl.sample_points(_slides(spark, path), fx.mask(spark, path), CLEAN, TILING)
+    given = fx.mask(spark, path).where(F.col("slide_id") % 5 != 0)
+    return pl.sample_points(_slides(spark, path), given, CLEAN, TILING, gray=_gray(spark, path))

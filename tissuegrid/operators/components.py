@@ -4,9 +4,9 @@
 2. One Arrow pass labels the cell runs of each block (a small NumPy helper).
 3. Only cells on block borders can join labels of different blocks. They are
    matched by an equi-join on position, so no pairs within a group are formed.
-4. Labels that touch across borders are merged by minimum propagation with pointer
-   jumping; each round is cut to the shared folder. Slides no larger than a block
-   need no round at all.
+4. Labels that touch across borders are merged by alternating stars, which settle in a
+   logarithmic number of rounds; each round is cut to the shared folder. Slides no
+   larger than a block need no round at all.
 
 The label of a component is its first cell in raster order, which does not depend
 on how the data is partitioned.
@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.graph import star_components
 from ..functions.ranking import bucketed_row_number
 from ..session import cut
 from .words import SLIDE, WORD, pack_cells
@@ -144,49 +145,34 @@ def _border_edges(runs: DataFrame, conn: int) -> DataFrame:
     )
 
 
-def merge_labels(edges: DataFrame, max_rounds: int = 200) -> DataFrame:
-    """Smallest reachable label of every label in ``edges``: ``(slide_id, label, root)``.
+def merge_labels(edges: DataFrame) -> DataFrame:
+    """Smallest reachable label of every label in ``edges`` but the least ones: ``(slide_id, label, root)``."""
+    return star_components(edges, "a", "b", by=[SLIDE])
 
-    Minimum propagation along edges plus one pointer jump per round.
+
+def component_runs(words: DataFrame, conn: int = 8) -> DataFrame:
+    """Cell runs with the final component ``label`` and ``part``, their label inside their block.
+
+    A part is bounded by its block, so what is decided about a label reaches runs by
+    part: no key of that join holds more than a block's runs.
     """
-    both = cut(
-        edges.select(SLIDE, F.col("a").alias("label"), F.col("b").alias("other")).unionByName(
-            edges.select(SLIDE, F.col("b").alias("label"), F.col("a").alias("other"))
-        ),
-        "edges",
+    runs = cut(block_runs(words, conn).withColumnRenamed("label", "part"), "runs")
+    edges = _border_edges(runs.withColumnRenamed("part", "label"), conn)
+    roots = merge_labels(edges).withColumnRenamed("label", "part")
+    return runs.join(roots, [SLIDE, "part"], "left").select(
+        SLIDE, "r", "c0", "c1", F.coalesce("root", "part").alias("label"), "part"
     )
-    roots = cut(
-        both.groupBy(SLIDE, "label").agg(F.least(F.col("label"), F.min("other")).alias("root")), "roots"
-    )
-    for _ in range(max_rounds):
-        seen = roots.select(SLIDE, F.col("label").alias("other"), F.col("root").alias("other_root"))
-        best = both.join(seen, [SLIDE, "other"]).groupBy(SLIDE, "label").agg(F.min("other_root").alias("best"))
-        stepped = roots.join(best, [SLIDE, "label"]).select(
-            SLIDE, "label", F.col("root").alias("was"), F.least("root", "best").alias("root")
-        )
-        jump = roots.select(SLIDE, F.col("label").alias("root"), F.col("root").alias("up"))
-        after = cut(
-            stepped.join(jump, [SLIDE, "root"], "left").select(
-                SLIDE, "label", "was", F.least(F.col("root"), F.coalesce("up", "root")).alias("root")
-            ),
-            "roots",
-        )
-        roots = after.select(SLIDE, "label", "root")
-        if after.where(F.col("was") != F.col("root")).isEmpty():
-            return roots
-    raise RuntimeError("label merging did not settle")
 
 
-def component_runs(words: DataFrame, conn: int = 8) -> DataFrame:
-    """Cell runs with the final component label, for all slides."""
-    runs = cut(block_runs(words, conn), "runs")
-    edges = cut(_border_edges(runs, conn), "edges")
-    if edges.isEmpty():
-        return runs
-    roots = merge_labels(edges)
-    return runs.join(roots, [SLIDE, "label"], "left").select(
-        SLIDE, "r", "c0", "c1", F.coalesce("root", "label").alias("label")
-    )
+def label_parts(runs: DataFrame) -> DataFrame:
+    """``(slide_id, label, part)``, one row per block and component in it."""
+    return runs.select(SLIDE, "label", "part").distinct()
+
+
+def runs_of_labels(runs: DataFrame, labels: DataFrame) -> DataFrame:
+    """Runs whose ``(slide_id, label)`` is in ``labels``, joined by part."""
+    chosen = label_parts(runs).join(labels.select(SLIDE, "label"), [SLIDE, "label"], "left_semi")
+    return runs.join(chosen.select(SLIDE, "part"), [SLIDE, "part"], "left_semi")
 
 
 def boxes_of_runs(runs: DataFrame) -> DataFrame:
@@ -198,8 +184,7 @@ def boxes_of_runs(runs: DataFrame) -> DataFrame:
         (F.max("c1") + 1).alias("c1"),
         F.sum((F.col("c1") - F.col("c0") + 1).cast("bigint")).alias("area"),
     ), "boxes")
-    bands = lambda hot: [F.floor(F.col("label") / (_SPAN * 16))]
-    return bucketed_row_number(boxes, "_rn", by=[SLIDE], buckets=bands, order=[F.col("label")]).select(
+    return bucketed_row_number(boxes, "_rn", by=[SLIDE], keys=[F.col("label")], order=[F.col("label")]).select(
         SLIDE, (F.col("_rn") - 1).cast("int").alias("region_id"), "r0", "c0", "r1", "c1", "area", "label"
     )
 
@@ -208,7 +193,8 @@ def connected_components(cells: DataFrame, conn: int = 8, row: str = "r", col: s
     """``(slide_id, r, c, region_id)`` for every distinct cell."""
     runs = component_runs(pack_cells(cells, row, col), conn)
     ids = boxes_of_runs(runs).select(SLIDE, "label", "region_id")
-    return runs.join(ids, [SLIDE, "label"]).select(
+    by_part = label_parts(runs).join(ids, [SLIDE, "label"]).select(SLIDE, "part", "region_id")
+    return runs.join(by_part, [SLIDE, "part"]).select(
         SLIDE,
         F.col("r").alias(row),
         F.explode(F.sequence("c0", "c1")).alias(col),

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.skew import attach_by_key
 from ..params import CleanParams
 from ..session import cut
-from .components import boxes_of_runs, component_runs
+from .components import component_runs, runs_of_labels
 from .words import SLIDE, WORD, bit_range, mask_shape, pack_mask, runs_to_words, unpack_mask
 
 
@@ -130,7 +130,7 @@ def fill_holes_words(words: DataFrame, shape: DataFrame | None = None) -> DataFr
         )
         .select(SLIDE, "label")
     )
-    holes = runs_to_words(runs.join(inner, [SLIDE, "label"], "left_semi"), "hole")
+    holes = runs_to_words(runs_of_labels(runs, inner), "hole")
     return words.join(holes, [SLIDE, "r", "wi"], "left").select(
         SLIDE, "r", "wi", F.col("bits").bitwiseOR(F.coalesce("hole", F.lit(0).cast("bigint"))).alias("bits"), "valid"
     )
@@ -152,9 +152,7 @@ def remove_bars_words(
     bw, bh = F.col("c1") - F.col("c0"), F.col("r1") - F.col("r0")
     flat = (bw > F.lit(width_ratio) * F.col("w")) & (bh < F.lit(1 - height_ratio) * F.col("h"))
     tall = (bh > F.lit(height_ratio) * F.col("h")) & (bw < F.lit(1 - width_ratio) * F.col("w"))
-    bars = runs_to_words(
-        runs.join(boxes.where(flat | tall).select(SLIDE, "label"), [SLIDE, "label"], "left_semi"), "bar"
-    )
+    bars = runs_to_words(runs_of_labels(runs, boxes.where(flat | tall)), "bar")
     keep = F.bitwise_not(F.coalesce("bar", F.lit(0).cast("bigint")))
     return words.join(bars, [SLIDE, "r", "wi"], "left").select(
         SLIDE, "r", "wi", F.col("bits").bitwiseAND(keep).alias("bits"), "valid"

@@ -19,22 +19,33 @@ from ..session import cut
 def foreground_mask(
     mask_rows: DataFrame, gray: DataFrame, p: ForegroundParams = ForegroundParams(), value: str = "gray"
 ) -> DataFrame:
-    """The given mask where it covers enough of the slide, the triangle threshold elsewhere."""
-    poor = grid.fill_ratio(mask_rows, p.min_foreground_ratio).where("needs_fallback").select(SLIDE)
-    poor = cut(poor, "poor")
-    good = attach_by_key(mask_rows, poor, [SLIDE], "left_anti", stored=True).select(SLIDE, "r", "c", "v")
-    second = mask.triangle_threshold(attach_by_key(gray, poor, [SLIDE], "left_semi", stored=True), value)
+    """The given mask where it covers enough of the slide, the triangle threshold elsewhere.
+
+    A slide of ``gray`` that has no mask rows at all takes the threshold too.
+    """
+    good_ids = grid.fill_ratio(mask_rows, p.min_foreground_ratio).where("NOT needs_fallback").select(SLIDE)
+    good_ids = cut(good_ids, "good")
+    good = attach_by_key(mask_rows, good_ids, [SLIDE], "left_semi", stored=True).select(SLIDE, "r", "c", "v")
+    second = mask.triangle_threshold(attach_by_key(gray, good_ids, [SLIDE], "left_anti", stored=True), value)
     return good.unionByName(second.select(SLIDE, "r", "c", "v"))
 
 
 def sample_points(
-    slides: DataFrame, mask_rows: DataFrame, clean: CleanParams = CleanParams(), tiling: TilingParams = TilingParams()
+    slides: DataFrame,
+    mask_rows: DataFrame,
+    clean: CleanParams = CleanParams(),
+    tiling: TilingParams = TilingParams(),
+    gray: DataFrame | None = None,
+    foreground: ForegroundParams = ForegroundParams(),
 ) -> DataFrame:
     """Tile corners ``(slide_id, x, y, size, scale)`` on enough tissue.
 
     ``slides`` has ``(slide_id, full_h, mag)``. Masks are cleaned, boxed, gridded and
-    filtered by coverage; a slide whose mask comes out empty gives no rows.
+    filtered by coverage; a slide whose mask comes out empty gives no rows. With ``gray``
+    pixels, slides whose mask is missing or too small start from their own threshold.
     """
+    if gray is not None:
+        mask_rows = foreground_mask(mask_rows, gray, foreground)
     words = cut(mask.clean_words(pack_mask(mask_rows), clean), "mask")
     info = mask_shape(words).join(slides, SLIDE).select(
         SLIDE,
