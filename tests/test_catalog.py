@@ -9,7 +9,7 @@ from tissuegrid.catalog import ORACLES, QUERIES
 
 PATH = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations"
-ROWS_ONLY = {"s1_list_files", "v9_add_noise"}
+ROWS_ONLY: set[str] = set()
 
 
 @pytest.fixture(scope="module")
@@ -49,6 +49,7 @@ def test_query_equals_sql(spark, duck, name):
     assert rows_of(df.columns, df.collect()) == rows_of(columns, result.fetchall())
 
 
-@pytest.mark.parametrize("name", sorted(ROWS_ONLY))
-def test_rows_only(spark, name):
-    assert QUERIES[name](spark, PATH).count() > 0
+def test_listing(spark):
+    from tissuegrid.sources.files import list_files
+
+    assert list_files(spark, PATH, ".parquet").where("size > 0").count() == len(TABLES.split())

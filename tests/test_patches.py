@@ -6,7 +6,6 @@ import pytest
 from pyspark.sql import functions as F
 
 from tissuegrid.operators import patches as pt
-from tissuegrid.operators import pooling
 
 
 def loop_starts(side, max_dim, overlap):
@@ -81,15 +80,9 @@ def test_later_blank_overwrites_earlier_value(spark):
     assert pt.reconstructed_grid(patches).count() == 6
 
 
-def test_coalesce_ways_agree(tiles, monkeypatch):
-    few = pt.coalesce_cells(tiles)
-    monkeypatch.setattr(pt, "MAX_REPEATED", 1)
-    many = pt.coalesce_cells(tiles)
-    monkeypatch.setattr(pooling, "DIRECT_WIDTH", 1)
-    wide = pt.coalesce_cells(tiles)
-    rounded = lambda df: df.select(*pt.CELL, F.transform("features", lambda x: F.round(x, 9)).alias("f"))
-    assert rounded(many).exceptAll(rounded(wide)).isEmpty()
-    assert few.exceptAll(many).isEmpty() and many.exceptAll(few).isEmpty()
+def test_repeated_cells_are_summed(spark):
+    df = spark.createDataFrame([(1, 0, 0, [1.0, 2.0]), (1, 0, 0, [0.5, -2.0]), (1, 0, 1, [3.0, 4.0])], "slide_id long, gx int, gy int, features array<double>")
+    assert sorted((r.gy, r.features) for r in pt.coalesce_cells(df).collect()) == [(0, [1.5, 0.0]), (1, [3.0, 4.0])]
 
 
 def test_empty_tiles_give_schema(spark, tiles):

@@ -7,7 +7,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from tissuegrid.functions import ranking, skew
+from tissuegrid.functions import ranking
 from tissuegrid.functions import scalars as sc
 from tissuegrid.operators import augment as au
 from tissuegrid.operators import cohort as co
@@ -19,7 +19,7 @@ from tissuegrid.operators import vectors as ve
 @pytest.fixture
 def small_groups(monkeypatch):
     """Treat every group above 50 rows as large."""
-    monkeypatch.setattr(skew, "HOT_ROWS", 50)
+    monkeypatch.setattr(ranking, "TARGET_ROWS", 50)
 
 
 @pytest.fixture(scope="module")
@@ -52,7 +52,7 @@ def test_large_groups_rank_as_small_ones(spark, preds, monkeypatch):
         }
 
     plain = results()
-    monkeypatch.setattr(skew, "HOT_ROWS", 50)
+    monkeypatch.setattr(ranking, "TARGET_ROWS", 50)
     large = results()
     for name in plain:
         cols = sorted(plain[name].columns)
@@ -224,8 +224,9 @@ def test_nearest_to_centers_in_pieces(spark, monkeypatch):
     vecs = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id int, features array<double>")
     centers = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(c)], "center_id int, center array<double>")
     want = {i: np.argsort(((x - v) ** 2).sum(axis=1))[:5].tolist() for i, v in enumerate(c)}
-    for floats in (ve.CLOSURE_FLOATS, 16):
+    for floats, rows in ((ve.CLOSURE_FLOATS, ve.BLOCK_ROWS), (16, 70)):
         monkeypatch.setattr(ve, "CLOSURE_FLOATS", floats)
+        monkeypatch.setattr(ve, "BLOCK_ROWS", rows)
         got = ve.nearest_to_centers(vecs, centers, 5).orderBy("center_id", "rank").collect()
         assert {i: [g.vec_id for g in got if g.center_id == i] for i in want} == want
 
@@ -252,14 +253,32 @@ def test_reinhard_reaches_its_target(spark):
         st.virtual_template(px, t, "cauchy")
 
 
-def test_salted_join_equals_plain_join(spark, preds, monkeypatch):
-    df = spark.createDataFrame(preds.drop(columns="is_global"))
-    side = df.groupBy("bag_id").agg(F.max("score").alias("best")).where("bag_id % 5 <> 3")
-    plain = {h: skew.attach_by_key(df, side, ["bag_id"], h) for h in ("inner", "left", "left_semi", "left_anti")}
-    monkeypatch.setattr(skew, "BROADCAST_ROWS", 1)
-    unsalted = skew.attach_by_key(df, side, ["bag_id"])
-    monkeypatch.setattr(skew, "HOT_ROWS", 50)
-    for how, want in plain.items():
-        got = skew.attach_by_key(df, side, ["bag_id"], how).select(*want.columns)
-        assert got.exceptAll(want).isEmpty() and want.exceptAll(got).isEmpty()
-    assert unsalted.exceptAll(plain["inner"]).isEmpty()
+@pytest.mark.parametrize("space", ["LAB", "HSV", "HED"])
+def test_colours_come_back(spark, space):
+    rng = np.random.default_rng(3)
+    # colours that absorb some of each stain, as others have stains below zero
+    stains = rng.uniform(0.02, 0.2, (200, 3)) @ np.array([[0.65, 0.70, 0.29], [0.07, 0.99, 0.11], [0.27, 0.57, 0.78]])
+    rgb = 255 * np.exp(stains * math.log(1e-6)) if space == "HED" else rng.uniform(0, 255, (200, 3))
+    px = spark.createDataFrame([(i, *map(float, v)) for i, v in enumerate(rgb)], "i int, ch0 double, ch1 double, ch2 double")
+    back = st.convert(st.convert(px, space), space, back=True).orderBy("i").collect()
+    assert np.allclose([[r.ch0, r.ch1, r.ch2] for r in back], rgb, atol=0.05)
+
+
+def test_known_colours(spark):
+    px = spark.createDataFrame([(255.0, 0.0, 0.0), (255.0, 255.0, 255.0), (0.0, 0.0, 255.0)], "ch0 double, ch1 double, ch2 double")
+    lab = [tuple(round(x, 1) for x in r) for r in st.convert(px, "LAB").collect()]
+    assert lab == [(135.8, 208.1, 195.2), (255.0, 128.0, 128.0), (82.4, 207.2, 20.1)]
+    assert [tuple(r) for r in st.convert(px, "HSV").collect()] == [(0.0, 255.0, 255.0), (0.0, 0.0, 255.0), (120.0, 255.0, 255.0)]
+    with pytest.raises(ValueError):
+        st.convert(px, "YUV")
+
+
+def test_buckets_of_many_large_groups_stay_near_the_target(spark, small_groups):
+    # 100 groups on ranges of their own, and one whose rows are mostly ties
+    df = spark.range(0, 40_000).selectExpr("id div 400 AS g", "id AS i", "CASE WHEN id < 400 AND id > 20 THEN 5.0 ELSE id / 7 END AS v")
+    rows, within = ranking._bucketed(df, ["g"], [F.col("v"), F.col("i")], F.lit(1))
+    sizes = [r["count"] for r in rows.groupBy(*within).count().collect()]
+    assert sum(sizes) == 40_000 and max(sizes) <= 110
+    got = ranking.bucketed_row_number(df, "rn", by=["g"], keys=[F.col("v"), F.col("i")], order=[F.col("v"), F.col("i")])
+    wrong = got.selectExpr("rn", "row_number() OVER (PARTITION BY g ORDER BY v, i) AS want").where("rn <> want")
+    assert wrong.count() == 0

@@ -223,9 +223,14 @@ EXAMPLES = """examples AS MATERIALIZED (
   FROM pairs p JOIN part_meta m ON m.slide_id = p.slide_id)"""
 
 
-def _examples(spark, path):
+# all metadata rows
+ALL_META = "all_meta AS MATERIALIZED (SELECT CAST(slide_id AS VARCHAR) AS slide_id, patient_id FROM fx_slide_meta)"
+ALL_EXAMPLES = EXAMPLES.replace("part_meta", "all_meta")
+
+
+def _examples(spark, path, meta=None):
     pairs = co.complete_pairs(fx.files(spark, path))
-    return co.slide_examples(pairs, _part_meta(spark, path), root="s3://slides/")
+    return co.slide_examples(pairs, _part_meta(spark, path) if meta is None else meta, root="s3://slides/")
 
 
 @query(
@@ -238,10 +243,12 @@ def j4(spark, path):
 
 @query(
     "w9_slide_order",
-    fx.with_sql("SELECT * FROM examples", fx.FILES, fx.META, PAIRS, PART_META, EXAMPLES),
+    fx.with_sql(
+        "SELECT *, row_number() OVER (ORDER BY base) - 1 AS ord FROM examples", fx.FILES, fx.META, PAIRS, ALL_META, ALL_EXAMPLES
+    ),
 )
 def w9(spark, path):
-    return co.slide_order(_examples(spark, path))
+    return co.slide_order(_examples(spark, path, fx.keyed_meta(spark, path)))
 
 
 @query(
@@ -252,12 +259,12 @@ def w9(spark, path):
         fx.FILES,
         fx.META,
         PAIRS,
-        PART_META,
-        EXAMPLES,
+        ALL_META,
+        ALL_EXAMPLES,
     ),
 )
 def a5_slides(spark, path):
-    return co.patient_slides(_examples(spark, path))
+    return co.patient_slides(_examples(spark, path, fx.keyed_meta(spark, path)))
 
 
 @query(

@@ -126,6 +126,31 @@ def a23(spark, path):
     return _rounded(so.regional_loss(fx.preds(spark, path), 0.3), "loss")
 
 
+TWO_TASKS = """two AS MATERIALIZED (
+  SELECT bag_id, instance_id, is_global, 'toxic' AS task, score, y FROM fx_preds
+  UNION ALL SELECT bag_id, instance_id, is_global, 'grade', score * 0.5 + 0.1, y FROM fx_preds)"""
+
+
+@query(
+    "a23_regional_loss_tasks",
+    fx.with_sql(
+        f""", scored AS MATERIALIZED (SELECT *, CASE task WHEN 'toxic' THEN {BCE} ELSE (score - y) * (score - y) END AS loss FROM two),
+              g AS (SELECT bag_id, sum(t) AS g FROM (SELECT bag_id, task, avg(loss) AS t FROM scored WHERE is_global GROUP BY 1, 2) a GROUP BY 1),
+              l AS (SELECT bag_id, sum(t) / max(k) AS l FROM (SELECT s.bag_id, s.task, avg(s.loss) AS t, max(k) AS k FROM scored s
+                JOIN top p ON p.bag_id = s.bag_id AND p.instance_id = s.instance_id WHERE NOT s.is_global GROUP BY 1, 2) b GROUP BY 1)
+            SELECT g.bag_id, round(0.7 * g + 0.3 * coalesce(l, 0), 6) AS loss FROM g LEFT JOIN l ON l.bag_id = g.bag_id""",
+        fx.PREDS,
+        TOP,
+        TWO_TASKS,
+    ),
+)
+def a23_tasks(spark, path):
+    one = fx.preds(spark, path)
+    grade = one.withColumn("task", F.lit("grade")).withColumn("score", F.col("score") * 0.5 + 0.1)
+    both = one.withColumn("task", F.lit("toxic")).unionByName(grade)
+    return _rounded(so.regional_loss_tasks(both, 0.3, {"toxic": "bce_logits", "grade": "mse"}), "loss")
+
+
 @query(
     "a24_multitask_loss",
     fx.with_sql(

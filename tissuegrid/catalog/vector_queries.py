@@ -5,6 +5,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import functions as F
 
+from ..functions import colour as co
 from ..functions import scalars as sc
 from ..functions.hashing import uniform01
 from ..operators import augment as au
@@ -343,9 +344,20 @@ def v8(spark, path):
     return au.random_apply(bags, 0.4, 43, ["slide_id"], per="batch", out="per_batch").select("vec_id", "per_bag", "per_batch")
 
 
-@query("v9_add_noise")
+U_A, U_B = fx.uniform_sql("42a", "l.vec_id", "l.j"), fx.uniform_sql("42b", "l.vec_id", "l.j")
+
+
+@query(
+    "v9_add_noise",
+    fx.with_sql(
+        f"""SELECT l.vec_id, l.j, {_value(f"CASE WHEN blank THEN x ELSE CAST(x + 0.1 * sqrt(-2 * ln(1 - {U_A})) * cos(2 * pi() * {U_B}) AS FLOAT) END", 5)}
+            FROM long l""",
+        fx.TILES,
+        LONG,
+    ),
+)
 def v9(spark, path):
-    return au.add_noise(fx.tiles(spark, path), 0.1, 42, ["vec_id"]).select("vec_id", "features")
+    return _exploded(au.add_noise(fx.tiles(spark, path), 0.1, 42, ["vec_id"]), "features", 5, "vec_id")
 
 
 U_N, U_K = fx.uniform_sql("42n", "slide_id"), fx.uniform_sql("42k", "slide_id")
@@ -550,3 +562,86 @@ def g18(spark, path):
         F.col("l_partkey").alias("image_id"), F.when(q >= 12, 255).otherwise((220 + q).cast("int")).alias("v")
     )
     return st.background_tiles(pixels, "v").withColumn("mean_value", F.round("mean_value", 6))
+
+
+# --- colour spaces ---------------------------------------------------------
+
+
+def _lab_sql(r: str, g: str, b: str) -> list[str]:
+    linear = [f"(CASE WHEN {c} / 255.0 > 0.04045 THEN pow(({c} / 255.0 + 0.055) / 1.055, 2.4) ELSE {c} / 255.0 / 12.92 END)" for c in (r, g, b)]
+    xyz = ["(" + " + ".join(f"{m} * {c}" for m, c in zip(row, linear)) + f") / {w}" for row, w in zip(co.XYZ, co.WHITE)]
+    f = [f"(CASE WHEN {c} > 0.008856 THEN pow({c}, 1.0 / 3) ELSE 7.787 * ({c}) + 16.0 / 116 END)" for c in xyz]
+    light = f"(CASE WHEN {xyz[1]} > 0.008856 THEN 116 * {f[1]} - 16 ELSE 903.3 * ({xyz[1]}) END) * 2.55"
+    return [light, f"500 * ({f[0]} - {f[1]}) + 128", f"200 * ({f[1]} - {f[2]}) + 128"]
+
+
+def _hsv_sql(r: str, g: str, b: str) -> list[str]:
+    top, span = f"greatest({r}, {g}, {b})", f"(greatest({r}, {g}, {b}) - least({r}, {g}, {b}))"
+    turn = f"(CASE WHEN {span} = 0 THEN 0 WHEN {top} = {r} THEN ({g} - {b}) / {span} WHEN {top} = {g} THEN 2 + ({b} - {r}) / {span} ELSE 4 + ({r} - {g}) / {span} END)"
+    return [f"(CASE WHEN {turn} < 0 THEN {turn} + 6 ELSE {turn} END) * 30", f"CASE WHEN {top} > 0 THEN {span} / {top} * 255 ELSE 0 END", top]
+
+
+def _hed_sql(r: str, g: str, b: str) -> list[str]:
+    light = [f"(ln(greatest({c} / 255.0, 1e-6)) / ln(1e-6))" for c in (r, g, b)]
+    unmix = np.linalg.inv(np.array(co.STAINS))
+    return ["greatest(0, " + " + ".join(f"({float(unmix[i][j])}) * {light[i]}" for i in range(3)) + ")" for j in range(3)]
+
+
+def _space_sql(made: list[str]) -> str:
+    shown = ", ".join(f"round(CAST({e} AS DOUBLE), 5) + 0.0 AS {n}" for e, n in zip(made, st.CHANNELS))
+    return fx.with_sql(f"SELECT image_id, l_orderkey, l_linenumber, {shown} FROM fx_pixels", fx.PIXELS)
+
+
+def _space(spark, path, space: str):
+    moved = st.convert(fx.pixels(spark, path), space)
+    return moved.select("image_id", "l_orderkey", "l_linenumber", *[(F.round(c, 5) + 0.0).alias(c) for c in st.CHANNELS])
+
+
+@query("t4_rgb_lab", _space_sql(_lab_sql("ch0", "ch1", "ch2")))
+def t4_lab(spark, path):
+    return _space(spark, path, "LAB")
+
+
+@query("t4_rgb_hsv", _space_sql(_hsv_sql("ch0", "ch1", "ch2")))
+def t4_hsv(spark, path):
+    return _space(spark, path, "HSV")
+
+
+@query("t4_rgb_hed", _space_sql(_hed_sql("ch0", "ch1", "ch2")))
+def t4_hed(spark, path):
+    return _space(spark, path, "HED")
+
+
+LAB_TARGET = {"ch0": (140.0, 30.0), "ch1": (150.0, 12.0), "ch2": (120.0, 9.0)}
+
+
+def _stain_sql() -> str:
+    lab = ", ".join(f"{e} AS {c}" for e, c in zip(_lab_sql("ch0", "ch1", "ch2"), LAB_TARGET))
+    stats = ", ".join(f"avg({c}) AS {c}_m, stddev_pop({c}) AS {c}_s" for c in LAB_TARGET)
+    moved = ", ".join(
+        f"CAST(floor(greatest(0, least(({c} - {c}_m) * ({s} / greatest(1e-4, least({c}_s, 255))) + {m}, 255))) AS DOUBLE) AS {c}"
+        for c, (m, s) in LAB_TARGET.items()
+    )
+    y = "((ch0 * 100 / 255 + 16) / 116)"
+    roots = [f"({y} + (ch1 - 128) / 500)", y, f"({y} - (ch2 - 128) / 200)"]
+    xyz = [f"((CASE WHEN {t} > 0.206893 THEN pow({t}, 3) ELSE ({t} - 16.0 / 116) / 7.787 END) * {w})" for t, w in zip(roots, co.WHITE)]
+    linear = ["(" + " + ".join(f"({m}) * {c}" for m, c in zip(row, xyz)) + ")" for row in co.RGB]
+    rgb = ", ".join(
+        f"round(255 * greatest(0, least(1, CASE WHEN {c} > 0.0031308 THEN 1.055 * pow(greatest({c}, 0), 1 / 2.4) - 0.055 ELSE 12.92 * {c} END)), 3) + 0.0 AS {n}"
+        for c, n in zip(linear, "rgb")
+    )
+    return fx.with_sql(
+        f""", lab AS MATERIALIZED (SELECT image_id, l_orderkey, l_linenumber, {lab} FROM fx_pixels),
+              stats AS (SELECT image_id, {stats} FROM lab GROUP BY image_id),
+              moved AS MATERIALIZED (SELECT l.image_id, l_orderkey, l_linenumber, {moved} FROM lab l JOIN stats s ON s.image_id = l.image_id)
+            SELECT image_id, l_orderkey, l_linenumber, {rgb} FROM moved""",
+        fx.PIXELS,
+    )
+
+
+@query("t1_normalize_stain_lab", _stain_sql())
+def t1_lab(spark, path):
+    pixels = fx.pixels(spark, path)
+    template = {c: {"avg_mean": m, "avg_std": 0.0, "std_mean": s, "std_std": 0.0} for c, (m, s) in LAB_TARGET.items()}
+    moved = st.normalize_stain(pixels, st.virtual_template(pixels, template), "LAB")
+    return moved.select("image_id", "l_orderkey", "l_linenumber", *[(F.round(c, 3) + 0.0).alias(n) for c, n in zip(st.CHANNELS, "rgb")])

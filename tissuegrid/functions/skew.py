@@ -1,9 +1,8 @@
-"""Joins of one row per key to all rows of that key, safe when one key dominates.
+"""Joins of one row per key to all rows of that key.
 
-A shuffle on a slide or bag key would put a slide with a third of all rows in one
-task, and later steps grouped by finer keys would keep that placement. So the small
-side is broadcast when its counted rows allow it; otherwise the rows of large keys
-are salted and only those keys are repeated on the small side.
+Whether the side is small enough to be broadcast is decided from its bytes at run time,
+and so is the split of a key that fills a partition: both are adaptive execution's
+work, for which the join must stand next to its shuffles. Nothing is counted here.
 """
 
 from __future__ import annotations
@@ -11,43 +10,10 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
-from ..session import cut
-
-# Rows of a few numbers each that are still broadcast.
-BROADCAST_ROWS = 500_000
-# A key is large above this many rows, or above its share of MAX_HOT-th of the table.
-HOT_ROWS = 500_000
-MAX_HOT = 100_000
-
-
-def large_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame | None:
-    """``(keys, _n_parts)`` of large keys, fewer than ``MAX_HOT`` of them; None without any."""
-    total = df.count()
-    limit = max(HOT_ROWS, total // MAX_HOT)
-    if total <= limit:
-        return None
-    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > limit)
-    found = cut(sizes.select(*keys, F.ceil(F.col("_n") / limit).cast("bigint").alias("_n_parts")), "large")
-    return None if found.isEmpty() else found
 
 
 def attach_by_key(
     df: DataFrame, side: DataFrame, keys: Sequence[str], how: str = "inner", stored: bool = False
 ) -> DataFrame:
     """``df`` joined to ``side``, which has one row per key; ``stored`` says it is cheap to read again."""
-    keys = list(keys)
-    side = side if stored else cut(side, "side")
-    if side.count() <= BROADCAST_ROWS:
-        return df.join(F.broadcast(side), keys, how)
-    large = large_keys(df, keys)
-    if large is None:
-        return df.join(side, keys, how)
-    large = F.broadcast(large)
-    spread = df.join(large, keys, "left").withColumn(
-        "_part", F.coalesce(F.pmod(F.xxhash64(*df.columns), "_n_parts"), F.lit(0).cast("bigint"))
-    )
-    last = F.coalesce("_n_parts", F.lit(1)).cast("bigint") - 1
-    copies = side.join(large, keys, "left").withColumn("_part", F.explode(F.sequence(F.lit(0).cast("bigint"), last)))
-    return spread.drop("_n_parts").join(copies.drop("_n_parts"), [*keys, "_part"], how).drop("_part")
+    return df.join(side, list(keys), how)

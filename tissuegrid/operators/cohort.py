@@ -7,8 +7,10 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.ranking import bucketed_row_number, hash_order, text_split_points, value_bucket
+from ..functions.hashing import md5_key
+from ..functions.ranking import bucketed_row_number, hash_order, text_key
 from ..functions.skew import attach_by_key
+from ..session import cut
 
 # Fixed label vocabulary: field -> text -> value.
 SPECIAL_BINARY = {
@@ -109,14 +111,16 @@ def patient_slides(examples: DataFrame) -> DataFrame:
         examples,
         "_rn",
         by=["patient_id"],
-        buckets=lambda hot: [value_bucket(F.col("base"), text_split_points(hot, "base"))],
+        keys=text_key("base"),
         order=[F.col("base")],
     ).select("patient_id", (F.col("_rn") - 1).alias("ord"), "slide_id", "coords_path", "features_path")
 
 
 def slide_order(examples: DataFrame) -> DataFrame:
-    """Listing by key."""
-    return examples.orderBy("base")
+    """All slides numbered from 0 in key order (``ord``)."""
+    return bucketed_row_number(examples, "_rn", by=[], keys=text_key("base"), order=[F.col("base")]).select(
+        *examples.columns, (F.col("_rn") - 1).alias("ord")
+    )
 
 
 def patient_rollup(slides: DataFrame) -> DataFrame:
@@ -264,7 +268,8 @@ def head_sample(df: DataFrame, key: str, n: int, seed: int) -> DataFrame:
     """First ``n`` rows of the permutation; -1 keeps all."""
     if n < 0:
         return df
-    return shuffle_order(df, key, seed, "_rn").where(F.col("_rn") <= n).drop("_rn")
+    # a top-n of each task, then of these
+    return df.orderBy(md5_key(seed, key), key).limit(n)
 
 
 def balanced_split(
@@ -289,7 +294,7 @@ def three_way_split(
     df: DataFrame, key: str, label: str = "odx85", positive=1, val: float = 0.2, test: float = 0.1, seed: int = 42
 ) -> DataFrame:
     """Test by ``balanced_split``, then validation of the rest at ``val / (1 - test)``; val=0 gives none."""
-    first = balanced_split(df, key, label, positive, test, seed)
+    first = cut(balanced_split(df, key, label, positive, test, seed), "first-split")
     if val <= 0:
         return first
     rest = first.where(F.col("split") == "train").drop("split")

@@ -19,12 +19,10 @@ from ..functions.ranking import bucketed_prefix_sum
 from ..functions.scalars import active
 from ..session import cut
 from .components import region_boxes
-from .pooling import vector_sum_of
+from .pooling import vector_sum
 from .words import SLIDE
 
 CELL = [SLIDE, "gx", "gy"]
-# Repeated cells that are still broadcast (three numbers each).
-MAX_REPEATED = 500_000
 
 # The ten integers that place a patch.
 PATCH_INFO = [
@@ -41,25 +39,12 @@ PATCH_INFO = [
 
 
 def coalesce_cells(tiles: DataFrame, features: str = "features") -> DataFrame:
-    """Tiles that share a cell are summed element by element; others pass through untouched.
+    """Tiles that share a cell are summed element by element.
 
-    Positions alone are counted first. Cells seldom repeat: without any, vectors are
-    not moved at all; with few, their list is broadcast and only their vectors go
-    through the aggregate; beyond ``MAX_REPEATED`` all vectors take one aggregate.
+    One aggregate, merged on the map side; a cell of one tile keeps its vector as it is.
     """
     kind = tiles.schema[features].dataType
-    repeated = cut(
-        tiles.groupBy(*CELL).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > 1).select(*CELL), "repeated"
-    )
-    n = repeated.count()
-    if n == 0:
-        return tiles.select(*CELL, features)
-    total = vector_sum_of(tiles, features).cast(kind).alias(features)
-    if n > MAX_REPEATED:
-        return tiles.groupBy(*CELL).agg(total)
-    few = F.broadcast(repeated)
-    single = tiles.join(few, CELL, "left_anti").select(*CELL, features)
-    return single.unionByName(tiles.join(few, CELL, "left_semi").groupBy(*CELL).agg(total))
+    return tiles.groupBy(*CELL).agg(vector_sum(features).cast(kind).alias(features))
 
 
 def active_cells(tiles: DataFrame, features: str = "features", unique: bool = False) -> DataFrame:
@@ -108,7 +93,7 @@ def split_region(regions: DataFrame, max_dim: int, overlap: float) -> DataFrame:
         .withColumn("_n", F.size("_rs").cast("bigint") * F.size("_cs"))
     )
     placed = bucketed_prefix_sum(
-        sized, "_n", "_base", by=[SLIDE], buckets=lambda hot: [F.floor(F.col("region_id") / 4096)], order=[F.col("region_id")]
+        sized, "_n", "_base", by=[SLIDE], keys=[F.col("region_id")], order=[F.col("region_id")]
     )
     rows = placed.select("*", F.posexplode("_rs").alias("_i", "rs"))
     cells = rows.select("*", F.posexplode("_cs").alias("_j", "cs"))

@@ -16,8 +16,6 @@ from pyspark.sql import functions as F
 from ..functions.skew import attach_by_key
 
 EPSILON = 1e-7
-# Vectors up to this width are summed element by element in many small groups.
-DIRECT_WIDTH = 128
 
 
 def _vector(features: str | Column) -> Column:
@@ -34,23 +32,6 @@ def vector_sum(features) -> Column:
     return vector_to_array(Summarizer.sum(_vector(features)))
 
 
-def vector_sum_of(df: DataFrame, features: str) -> Column:
-    """Element-wise sum for very many small groups.
-
-    One built-in sum per element keeps the aggregate in the hash table that the
-    summarizer leaves after a few groups. Wide vectors use the summarizer.
-    """
-    first = df.select(F.size(features).alias("d")).first()
-    if first is None or not 0 < first["d"] <= DIRECT_WIDTH:
-        return vector_sum(features)
-    width = first["d"]
-    total = F.array(*[F.sum(F.col(features)[i].cast("double")) for i in range(width)])
-    same = (F.min(F.size(features)) == width) & (F.max(F.size(features)) == width)
-    return F.when(same, total).otherwise(
-        F.raise_error(F.lit("vectors have different width")).cast("array<double>")
-    )
-
-
 def vector_mean(features, weight: Column | None = None) -> Column:
     v = _vector(features)
     return vector_to_array(Summarizer.mean(v, weight) if weight is not None else Summarizer.mean(v))
@@ -122,13 +103,15 @@ def avg_max_pool(df: DataFrame, key: Sequence[str], mask: str, features: str = "
 def attention_weights(df: DataFrame, key: Sequence[str], logit: str, mask: str | None = None) -> DataFrame:
     """Softmax of ``logit`` inside each bag as ``weight``; masked rows are lowered by 1e9."""
     raised = F.col(logit) if mask is None else F.when(F.col(mask), F.col(logit)).otherwise(F.col(logit) - F.lit(1e9))
-    scored = df.withColumn("_l", raised)
-    top = scored.groupBy(*key).agg(F.max("_l").alias("_top"))
-    powered = attach_by_key(scored, top, key).withColumn("_e", F.exp(F.col("_l") - F.col("_top")))
-    total = powered.groupBy(*key).agg(F.sum("_e").alias("_total"))
-    return attach_by_key(powered, total, key).withColumn("weight", F.col("_e") / F.col("_total")).drop(
-        "_l", "_top", "_e", "_total"
+    # maximum and sum come from keys and logits alone; vectors join once
+    scores = df.select(*key, raised.alias("_l"))
+    top = scores.groupBy(*key).agg(F.max("_l").alias("_top"))
+    total = attach_by_key(scores, top, key).groupBy(*key).agg(
+        F.first("_top").alias("_top"), F.sum(F.exp(F.col("_l") - F.col("_top"))).alias("_total")
     )
+    return attach_by_key(df.withColumn("_l", raised), total, key).withColumn(
+        "weight", F.exp(F.col("_l") - F.col("_top")) / F.col("_total")
+    ).drop("_l", "_top", "_total")
 
 
 def attention_pool(

@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.ranking import bucketed_prefix_sum, split_points, top_by_value, value_bucket
+from ..functions.ranking import bucketed_prefix_sum, top_by_value
 from ..functions.scalars import argmax
 from ..functions.skew import attach_by_key
 from ..session import cut
@@ -84,6 +84,40 @@ def regional_loss(
     return whole.join(local, bag, "left").select(bag, (F.col("_g") + F.coalesce("_l", F.lit(0.0))).alias("loss"))
 
 
+def regional_loss_tasks(
+    preds: DataFrame,
+    coeff: float,
+    kinds: dict[str, str],
+    divide_by_k: bool = True,
+    bag: str = "bag_id",
+    task: str = "task",
+) -> DataFrame:
+    """Regional loss per bag over several tasks, each with a loss of its own.
+
+    ``preds`` has one row per bag, instance and task; ``kinds`` names the loss of each
+    task in order, other tasks are left out. Task losses add up, globally and locally. Top
+    instances are those of the first task's score, and they are the same for all tasks.
+    """
+    first = next(iter(kinds))
+    per_row = F.lit(None).cast("double")
+    for name, kind in kinds.items():
+        per_row = F.when(F.col(task) == name, loss_column(kind, F.col("score"), F.col("y"))).otherwise(per_row)
+    used = preds.where(F.col(task).isin(*kinds)).withColumn("_loss", per_row)
+
+    def summed(rows: DataFrame, *more: Column) -> DataFrame:
+        per_task = rows.groupBy(bag, task).agg(F.avg("_loss").alias("_t"), *more)
+        return per_task.groupBy(bag).agg(F.sum("_t").alias("_t"), *[F.first(c).alias(c) for c in per_task.columns[3:]])
+
+    whole = summed(used.where("is_global")).select(bag, (F.col("_t") * F.lit(1 - coeff)).alias("_g"))
+    if coeff == 0:
+        return whole.select(bag, F.col("_g").alias("loss"))
+    top = top_k_instances(used.where(F.col(task) == first), bag=bag).select(bag, "instance_id", "k")
+    best = summed(used.where(~F.col("is_global")).join(top, [bag, "instance_id"]), F.first("k").alias("k"))
+    k = F.col("k") if divide_by_k else F.lit(1)
+    local = best.select(bag, (F.col("_t") / k * F.lit(coeff)).alias("_l"))
+    return whole.join(local, bag, "left").select(bag, (F.col("_g") + F.coalesce("_l", F.lit(0.0))).alias("loss"))
+
+
 def with_task_labels(preds: DataFrame, labels: DataFrame, bag: str = "bag_id", task: str = "task") -> DataFrame:
     """Predictions whose (bag, task) has a label; the others are skipped."""
     return attach_by_key(preds, labels, [bag, task])
@@ -139,7 +173,7 @@ def auroc(df: DataFrame, score: str = "score", y: str = "y", by: Sequence[str] =
         "_neg",
         "_below",
         by=by,
-        buckets=lambda hot: [value_bucket(F.col("_s"), split_points(hot, "_s"))],
+        keys=[F.col("_s").cast("double")],
         order=[F.col("_s")],
     )
     wins = F.sum(F.col("_pos").cast("double") * (F.col("_below") + F.col("_neg") / 2))

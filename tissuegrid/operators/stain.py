@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.colour import SPACES
 from ..functions.hashing import laplace01, normal01, uniform01
 from ..functions.skew import attach_by_key
 from .augment import apply_draw
@@ -71,6 +72,37 @@ def reinhard(
     return attach_by_key(pixels, stats, [key]).select(*out)
 
 
+def convert(pixels: DataFrame, space: str, back: bool = False, channels: Sequence[str] = CHANNELS) -> DataFrame:
+    """Channels from RGB bytes to ``space`` (LAB, HSV or HED), or back to RGB on the byte scale, unrounded."""
+    if space not in SPACES:
+        raise ValueError(f"unknown colour space {space!r}")
+    moved = SPACES[space][back](*map(F.col, channels))
+    return pixels.withColumns(dict(zip(channels, moved, strict=True)))
+
+
+def stretch(pixels: DataFrame, key: str = "image_id", channels: Sequence[str] = CHANNELS) -> DataFrame:
+    """All channels of an image scaled together to 0..255, least value to greatest; a flat image becomes 0."""
+    span = pixels.groupBy(key).agg(
+        F.least(*[F.min(c) for c in channels]).alias("_lo"), F.greatest(*[F.max(c) for c in channels]).alias("_hi")
+    )
+    wide = F.col("_hi") - F.col("_lo")
+    scaled = {c: F.when(wide > 0, 255.0 * (F.col(c) - F.col("_lo")) / wide).otherwise(0.0) for c in channels}
+    return attach_by_key(pixels, span, [key]).withColumns(scaled).drop("_lo", "_hi")
+
+
+def normalize_stain(
+    pixels: DataFrame, targets: DataFrame, space: str, key: str = "image_id", channels: Sequence[str] = CHANNELS
+) -> DataFrame:
+    """RGB pixels whose statistics in ``space`` move to the targets; the result is RGB, unrounded.
+
+    LAB and HSV values are clipped to bytes before the way back; HED has no byte scale,
+    so the image is stretched afterwards.
+    """
+    moved = reinhard(convert(pixels, space, channels=channels), targets, key, channels, to_bytes=space != "HED")
+    rgb = convert(moved, space, back=True, channels=channels)
+    return stretch(rgb, key, channels) if space == "HED" else rgb
+
+
 def augment_with_prob(
     pixels: DataFrame, targets: DataFrame, p: float, seed: int, key: str = "image_id", channels: Sequence[str] = CHANNELS
 ) -> DataFrame:

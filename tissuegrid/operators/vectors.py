@@ -16,6 +16,8 @@ from ..functions.skew import attach_by_key
 
 # Largest table of floats shipped to tasks inside a closure (64 MiB of doubles).
 CLOSURE_FLOATS = 8 * 1024 * 1024
+# vectors that meet a piece of the centers at once
+BLOCK_ROWS = 20_000
 
 
 def zscore(df: DataFrame, stats: DataFrame, features: str = "features", out: str = "z") -> DataFrame:
@@ -133,48 +135,42 @@ def nearest_to_centers(
 ) -> DataFrame:
     """The k vectors closest to each center: ``(center_id, vec_id, distance, rank)``.
 
-    Each Arrow batch keeps its own k best per center, so the shuffle carries at most
-    k rows per batch and center. Centers are shipped in pieces of a checked size,
-    however many there are.
+    Vectors are dealt in blocks of ``BLOCK_ROWS`` and centers in pieces of at most
+    ``CLOSURE_FLOATS`` numbers; every block meets every piece in one task, which keeps its own
+    k best for each center. Nothing of either side reaches the driver but two counts.
     """
-    per_piece = max(1, CLOSURE_FLOATS // max(1, centers.select(F.size(center).alias("d")).first()["d"]))
-    n = centers.count()
-    n_pieces = -(-n // per_piece)
-    found = None
-    for piece in range(n_pieces):
-        part = centers if n_pieces == 1 else centers.where(F.pmod(F.xxhash64(center_id), F.lit(2 * n_pieces)).isin([2 * piece, 2 * piece + 1]))
-        rows = part.select(center_id, center).collect()
-        if rows:
-            near = _near(vecs, [r[0] for r in rows], np.array([r[1] for r in rows], dtype=float), k, vec_id, features,
-                         centers.schema[center_id].dataType, center_id)
-            found = near if found is None else found.unionByName(near)
+    width = centers.agg(F.max(F.size(center))).first()[0]
+    if not width:
+        return centers.select(center_id).join(vecs.select(vec_id), F.lit(False)).withColumns(
+            {"distance": F.lit(0.0), "rank": F.lit(0)}
+        )
+    n_pieces = -(-centers.count() * width // CLOSURE_FLOATS)
+    n_blocks = max(1, -(-vecs.count() // BLOCK_ROWS))
+    deal = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = vecs.select(deal(vec_id, n_blocks).alias("_block"), every(n_pieces).alias("_piece"), F.col(vec_id), F.col(features))
+    right = centers.select(every(n_blocks).alias("_block"), deal(center_id, n_pieces).alias("_piece"), F.col(center_id), F.col(center))
+    schema = T.StructType([centers.schema[center_id], vecs.schema[vec_id], T.StructField("distance", T.DoubleType())])
+
+    def best(block: pd.DataFrame, piece: pd.DataFrame) -> pd.DataFrame:
+        if not len(block) or not len(piece):
+            return pd.DataFrame({f.name: [] for f in schema})
+        x, keys = np.stack(block[features].to_numpy()).astype(float), block[vec_id].to_numpy()
+        matrix, ids = np.stack(piece[center].to_numpy()).astype(float), piece[center_id].to_numpy()
+        take, found = min(k, len(keys)), []
+        for at in range(0, len(ids), 256):
+            c = matrix[at : at + 256]
+            rough = (x * x).sum(axis=1)[:, None] - 2 * x @ c.T + (c * c).sum(axis=1)
+            # widen by a margin far above rounding error, then measure exactly
+            bound = np.partition(rough, take - 1, axis=0)[take - 1]
+            row, col = np.nonzero(rough <= bound + 1e-6 * (1 + np.abs(bound)))
+            exact = np.sqrt(((x[row] - c[col]) ** 2).sum(axis=1))
+            found.append(pd.DataFrame({center_id: ids[at + col], vec_id: keys[row], "distance": exact}))
+        return pd.concat(found)
+
+    met = left.groupBy("_block", "_piece").cogroup(right.groupBy("_block", "_piece")).applyInPandas(best, schema)
     w = Window.partitionBy(center_id).orderBy("distance", vec_id)
-    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-
-
-def _near(vecs, ids, matrix, k, vec_id, features, id_type, center_id) -> DataFrame:
-    squares = (matrix * matrix).sum(axis=1)
-    schema = T.StructType(
-        [T.StructField(center_id, id_type), vecs.schema[vec_id], T.StructField("distance", T.DoubleType())]
-    )
-
-    def scan(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            if not len(frame):
-                continue
-            x = np.stack(frame[features].to_numpy()).astype(float)
-            keys = frame[vec_id].to_numpy()
-            for at in range(0, len(ids), 256):
-                c = matrix[at : at + 256]
-                rough = (x * x).sum(axis=1)[:, None] - 2 * x @ c.T + squares[at : at + 256]
-                # widen by a margin far above rounding error, then measure exactly
-                take = min(k, len(keys))
-                bound = np.partition(rough, take - 1, axis=0)[take - 1]
-                row, col = np.nonzero(rough <= bound + 1e-6 * (1 + np.abs(bound)))
-                exact = np.sqrt(((x[row] - c[col]) ** 2).sum(axis=1))
-                yield pd.DataFrame({center_id: [ids[at + j] for j in col], vec_id: keys[row], "distance": exact})
-
-    return vecs.select(vec_id, features).mapInPandas(scan, schema)
+    return met.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
 def embed_tiles(
