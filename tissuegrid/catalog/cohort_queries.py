@@ -31,9 +31,40 @@ def g2(spark, path):
     return fx.slide_meta(spark, path).select("slide_id", size.alias("size"))
 
 
-LABELS = """binary_labels AS (
-  SELECT slide_id, label, CAST(CASE WHEN txt IN ('H', 'Present') THEN 1 WHEN txt IN ('L', 'Absent') THEN 0 END AS FLOAT) AS value
-  FROM (SELECT slide_id, unnest(['odx85', 'mphr', 'necrosis']) AS label, unnest([odx85, mphr, necrosis]) AS txt FROM fx_slide_meta) t)"""
+# text fields of the other label families: values by slide number, some of them unknown
+MORE_FIELDS = {
+    "ER_Status_By_IHC": (3, ("positive", "negative", "equivocal")),
+    "pr_status_by_ihc": (4, ("positive", "negative", None, None)),
+    "HER2Calc": (5, ("positive", "negative", "n/a", None, "n/a")),
+    "Lymphovascular Invasion (LVI)": (6, ("Present", "Absent", "Unknown", None, None, "Unknown")),
+    "Overall_Survival_Status": (7, ("dead", "alive", None, "lost", None, None, None)),
+}
+MORE_NUMBERS = {
+    "Grade": (4, ("1", "2", "n/a", None)),
+    "Overall_Survival_Months": (6, ("12.5", "0", "200", None, "?", "31")),
+    "Epithelial": (3, ("1", None, "3")),
+    "Grade.1": (5, ("1", "2", "3", "x", None)),
+    "age_at_diagnosis": (7, ("41", "52.25", None, "63", "unknown", "88", "30")),
+}
+
+
+def _case(mod: int, values) -> str:
+    whens = " ".join(f"WHEN {i} THEN '{v}'" for i, v in enumerate(values) if v is not None)
+    return f"CASE slide_id % {mod} {whens} END"
+
+
+BINARY_TEXT = {"odx85": "odx85", "mphr": "mphr"}
+for _name in ("ER_Status_By_IHC", "pr_status_by_ihc", "HER2Calc"):
+    BINARY_TEXT[_name] = _case(*MORE_FIELDS[_name])
+BINARY_TEXT["Necrosis"] = "necrosis"
+for _name in ("Lymphovascular Invasion (LVI)", "Overall_Survival_Status"):
+    BINARY_TEXT[_name] = _case(*MORE_FIELDS[_name])
+ON, OFF = "('H', 'Present', 'positive', 'dead')", "('L', 'Absent', 'negative', 'alive')"
+
+LABELS = f"""binary_labels AS (
+  SELECT slide_id, label, CAST(CASE WHEN txt IN {ON} THEN 1 WHEN txt IN {OFF} THEN 0 END AS FLOAT) AS value
+  FROM (SELECT slide_id, unnest([{', '.join(f"'{n.lower()}'" for n in BINARY_TEXT)}]) AS label,
+               unnest([{', '.join(BINARY_TEXT.values())}]) AS txt FROM fx_slide_meta) t)"""
 
 
 def _named_meta(spark, path):
@@ -49,6 +80,10 @@ def _named_meta(spark, path):
         F.col("mitosis").alias("Mitosis"),
         # text that is not always a number
         F.col("app_mag").alias("tumor_size"),
+        *[
+            F.element_at(F.array(*map(F.lit, values)), (F.col("slide_id") % mod + 1).cast("int")).alias(name)
+            for name, (mod, values) in {**MORE_FIELDS, **MORE_NUMBERS}.items()
+        ],
     )
 
 
@@ -62,10 +97,21 @@ def g7(spark, path):
     return co.map_binary(_named_meta(spark, path), "slide_id")
 
 
-REGRESSION = """regression_labels AS (
+NUMBER_TEXT = {
+    "odx_train": "odx_train",
+    "Grade": _case(*MORE_NUMBERS["Grade"]),
+    "tumor_size": "app_mag",
+    "Overall_Survival_Months": _case(*MORE_NUMBERS["Overall_Survival_Months"]),
+    "Disease_Free_Months": "disease_free_months",
+    "Epithelial": _case(*MORE_NUMBERS["Epithelial"]),
+    "Pleomorph": "pleomorph",
+    "Grade.1": _case(*MORE_NUMBERS["Grade.1"]),
+    "age_at_diagnosis": _case(*MORE_NUMBERS["age_at_diagnosis"]),
+}
+REGRESSION = f"""regression_labels AS (
   SELECT slide_id, label, CAST(TRY_CAST(txt AS DOUBLE) AS FLOAT) AS value FROM (
-    SELECT slide_id, unnest(['odx_train', 'disease_free_months', 'pleomorph', 'tumor_size']) AS label,
-           unnest([odx_train, disease_free_months, pleomorph, app_mag]) AS txt FROM fx_slide_meta) t)"""
+    SELECT slide_id, unnest([{', '.join(f"'{n.lower()}'" for n in NUMBER_TEXT)}]) AS label,
+           unnest([{', '.join(NUMBER_TEXT.values())}]) AS txt FROM fx_slide_meta) t)"""
 
 
 @query(
@@ -126,13 +172,19 @@ def g11(spark, path):
 @query(
     "g12_default_label",
     fx.with_sql(
-        f"""SELECT slide_id, CAST(coalesce(CASE necrosis WHEN 'Present' THEN 1.0 WHEN 'Absent' THEN 0.0 END,
-              {MITOSIS}, 0.0) AS FLOAT) AS default_label FROM fx_slide_meta""",
+        f"""SELECT slide_id, CAST(coalesce(
+              {', '.join(f"CASE WHEN {t} IN {ON} THEN 1.0 WHEN {t} IN {OFF} THEN 0.0 END" for t in {**BINARY_TEXT, 'odx85': "(CASE WHEN slide_id % 2 = 0 THEN odx85 END)", 'mphr': "(CASE WHEN slide_id % 5 = 0 THEN mphr END)"}.values())},
+              {', '.join(f"TRY_CAST({t} AS DOUBLE)" for t in NUMBER_TEXT.values())}, {MITOSIS}, 0.0) AS FLOAT) AS default_label
+            FROM fx_slide_meta""",
         fx.META,
     ),
 )
 def g12(spark, path):
-    meta = _named_meta(spark, path).select("slide_id", "Necrosis", "Mitosis")
+    # the first families are unknown for many slides, so that later ones decide
+    key = F.col("slide_id")
+    meta = _named_meta(spark, path).withColumns(
+        {"odx85": F.when(key % 2 == 0, F.col("odx85")), "mphr": F.when(key % 5 == 0, F.col("mphr"))}
+    )
     return co.default_label(meta, co.patient_labels(meta, "slide_id"), "slide_id")
 
 

@@ -73,6 +73,25 @@ def lattice(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+# --- a few tiles for every order, so that slide ids match files and metadata ---
+
+ORDER_TILES = """fx_order_tiles AS MATERIALIZED (
+  SELECT l_orderkey AS slide_id, CAST(l_partkey % 8 AS INT) AS gx, CAST(l_suppkey % 8 AS INT) AS gy,
+         CASE WHEN l_discount = 0 THEN 0.0 ELSE l_quantity END AS f0,
+         CASE WHEN l_discount = 0 THEN 0.0 ELSE l_discount END AS f1
+  FROM lineitem)"""
+
+
+def order_tiles(spark: SparkSession, path: str) -> DataFrame:
+    value = lambda c: F.when(F.col("l_discount") == 0, F.lit(0.0)).otherwise(F.col(c))
+    return table(spark, path, "lineitem").select(
+        F.col("l_orderkey").alias("slide_id"),
+        (F.col("l_partkey") % 8).cast("int").alias("gx"),
+        (F.col("l_suppkey") % 8).cast("int").alias("gy"),
+        F.array(value("l_quantity"), value("l_discount")).alias("features"),
+    )
+
+
 # active, summed cells of the lattice; all values are at least 0
 LATTICE_CELLS = """lattice_cells AS MATERIALIZED (
   SELECT slide_id, gx AS r, gy AS c FROM fx_lattice GROUP BY slide_id, gx, gy HAVING sum(f0) <> 0 OR sum(f1) <> 0)"""

@@ -297,17 +297,18 @@ def p2(spark, path):
 @query(
     "p3_densify",
     _sql(
-        f"""SELECT slide_id, patch_id, (ch - 1) * 16 + pr * 4 + pc AS at, round(features[ch], 6) AS value FROM (
-              SELECT *, unnest(range(1, 65)) AS ch FROM ({CELLS}) c) t WHERE features[ch] <> 0"""
+        f"""SELECT g.slide_id, g.patch_id, a.spot AS "at", coalesce(round(v.value, 6), 0) + 0.0 AS value
+            FROM ({GEO}) g CROSS JOIN range(1024) AS a(spot) LEFT JOIN (
+              SELECT slide_id, patch_id, (ch - 1) * 16 + pr * 4 + pc AS spot, features[ch] AS value FROM (
+                SELECT *, unnest(range(1, 65)) AS ch FROM ({CELLS}) c) t) v
+            ON v.slide_id = g.slide_id AND v.patch_id = g.patch_id AND v.spot = a.spot"""
     ),
 )
 def p3(spark, path):
     tiles = fx.tiles(spark, path).select("slide_id", "gx", "gy", "features")
     dense = pt.densify(pt.patch_cells(_stored_patches(spark, path), tiles), DIM, 64)
-    return (
-        dense.select("slide_id", "patch_id", F.posexplode("dense").alias("at", "value"))
-        .where(F.col("value") != 0)
-        .select("slide_id", "patch_id", F.col("at").cast("bigint").alias("at"), F.round("value", 6).alias("value"))
+    return dense.select("slide_id", "patch_id", F.posexplode("dense").alias("at", "value")).select(
+        "slide_id", "patch_id", F.col("at").cast("bigint").alias("at"), (F.round("value", 6) + 0.0).alias("value")
     )
 
 
@@ -340,13 +341,13 @@ def w10(spark, path):
     _sql(
         f""", owner AS (SELECT slide_id, gx, gy, max(patch_id) AS patch_id FROM ({CELLS}) c GROUP BY 1, 2, 3)
             SELECT o.slide_id, o.gx AS row, o.gy AS col, o.patch_id, round(list_sum(CAST(t.features AS DOUBLE[])) + 0.0, 5) AS total
-            FROM owner o JOIN fx_tiles t ON t.slide_id = o.slide_id AND t.gx = o.gx AND t.gy = o.gy WHERE NOT t.blank"""
+            FROM owner o JOIN fx_tiles t ON t.slide_id = o.slide_id AND t.gx = o.gx AND t.gy = o.gy"""
     ),
 )
 def p4(spark, path):
     tiles = fx.tiles(spark, path)
     patches = _stored_patches(spark, path)
-    cells = pt.patch_cells(patches, tiles.where(~F.col("blank")).select("slide_id", "gx", "gy", "features"))
+    cells = pt.patch_cells(patches, tiles.select("slide_id", "gx", "gy", "features"))
     total = F.aggregate(F.col("features").cast("array<double>"), F.lit(0.0), lambda a, x: a + x)
     return pt.reconstruct(patches, cut(cells, "cells")).select(
         "slide_id", "row", "col", "patch_id", (F.round(total, 5) + 0.0).alias("total")
@@ -354,10 +355,10 @@ def p4(spark, path):
 
 
 def _dataset_sql() -> str:
-    s = Steps(fx.META, fx.FILES, PAIRS, fx.LATTICE)
+    s = Steps(fx.META, fx.FILES, PAIRS, fx.ORDER_TILES)
     # cells of slides with a complete pair
     s.parts.append(
-        """lattice_cells AS MATERIALIZED (SELECT slide_id, gx AS r, gy AS c FROM fx_lattice
+        """lattice_cells AS MATERIALIZED (SELECT slide_id, gx AS r, gy AS c FROM fx_order_tiles
           WHERE CAST(slide_id AS VARCHAR) IN (SELECT slide_id FROM pairs)
           GROUP BY slide_id, gx, gy HAVING sum(f0) <> 0 OR sum(f1) <> 0)"""
     )
@@ -376,7 +377,7 @@ def _dataset_sql() -> str:
 
 @query("c4_patient_dataset", _dataset_sql())
 def c4(spark, path):
-    tiles = fx.lattice(spark, path).withColumn("slide_id", F.col("slide_id").cast("string"))
+    tiles = fx.order_tiles(spark, path).withColumn("slide_id", F.col("slide_id").cast("string"))
     data = pl.PatientDataset(
         fx.files(spark, path),
         fx.keyed_meta(spark, path),
