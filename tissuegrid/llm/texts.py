@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 1 << 20
 LETTERS = re.compile(r"[^\W\d_]+")
 
 
