@@ -156,3 +156,14 @@ def test_event_rates_drop_late_rows(spark, tmp_path):
     run()
     got = {(str(r.window_start), r.n) for r in spark.read.parquet(sink).collect()}
     assert got == {("2024-01-01 00:00:00", 2), ("2024-01-01 01:00:00", 1)}
+
+
+def test_event_rate_updates_hold_open_windows(spark, tmp_path):
+    src, sink, state = (str(tmp_path / n) for n in ("src", "sink", "state"))
+    schema = "event string, status string, ts timestamp"
+    for times in (["2024-01-01 00:01:00", "2024-01-01 00:11:00"], ["2024-01-01 00:12:00"]):
+        rows = spark.createDataFrame([("e", "ok", t) for t in times], "event string, status string, t string")
+        rows.select("event", "status", F.to_timestamp("t").alias("ts")).coalesce(1).write.mode("append").parquet(src)
+        jobs.event_rate_updates(spark.readStream.schema(schema).parquet(src), sink, state)
+    got = {(str(r.window_start), r.n) for r in jobs.latest_event_rates(spark, sink).collect()}
+    assert got == {("2024-01-01 00:00:00", 1), ("2024-01-01 00:10:00", 2)}

@@ -254,8 +254,26 @@ def x1(spark, path):
        FROM w WHERE w0 + INTERVAL 5 MINUTES <= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTES""",
 )
 def x2(spark, path):
+    sink, state = scratch_path(spark, "rates"), scratch_path(spark, "state")
+    jobs.event_rates_stream(_event_stream(spark, path), sink, state)
+    return _shown_rates(spark.read.parquet(sink))
+
+
+@query(
+    "x2_event_rate_updates",
+    """SELECT strftime(w0, '%Y-%m-%d %H:%M:%S') AS window_start,
+              strftime(w0 + INTERVAL 5 MINUTES, '%Y-%m-%d %H:%M:%S') AS window_end, 'slide_event' AS event, status, n
+       FROM (SELECT time_bucket(INTERVAL 5 MINUTES, ts) AS w0, event_type AS status, count(*) AS n FROM events GROUP BY 1, 2) w""",
+)
+def x2_updates(spark, path):
+    sink, state = scratch_path(spark, "rates"), scratch_path(spark, "state")
+    jobs.event_rate_updates(_event_stream(spark, path), sink, state)
+    return _shown_rates(jobs.latest_event_rates(spark, sink))
+
+
+def _event_stream(spark, path):
     schema = fx.table(spark, path, "events").schema
-    stream = (
+    return (
         spark.readStream.schema(schema)
         .option("pathGlobFilter", "events.parquet")
         .parquet(path)
@@ -263,7 +281,8 @@ def x2(spark, path):
             F.lit("slide_event").alias("event"), F.col("event_type").alias("status"), F.col("ts").cast("timestamp").alias("ts")
         )
     )
-    sink, state = scratch_path(spark, "rates"), scratch_path(spark, "state")
-    jobs.event_rates_stream(stream, sink, state)
+
+
+def _shown_rates(rates):
     text = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(c)
-    return spark.read.parquet(sink).select(text("window_start"), text("window_end"), "event", "status", "n")
+    return rates.select(text("window_start"), text("window_end"), "event", "status", "n")

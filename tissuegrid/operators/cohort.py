@@ -76,15 +76,17 @@ def missing_ids(meta: DataFrame, pairs: DataFrame) -> DataFrame:
 
 def pairing_report(files: DataFrame, meta: DataFrame, key: str = "fkey") -> DataFrame:
     """One row of totals; evaluating it fails when no pair was found."""
-    pairs = restrict_to_metadata(complete_pairs(files, key), meta)
-    tagged = (
-        files.select(F.lit("total_files").alias("k"))
-        .unionByName(meta.select(F.lit("slides_in_metadata").alias("k")))
-        .unionByName(pairs.select(F.lit("slides_found").alias("k")))
-        .unionByName(missing_ids(meta, pairs).select(F.lit("missing_slides").alias("k")))
+    found = complete_pairs(files, key).groupBy("slide_id").agg(F.count(F.lit(1)).alias("_p"))
+    known = meta.groupBy("slide_id").agg(F.count(F.lit(1)).alias("_m"))
+    # one outer join gives every count about slides
+    both = known.join(found, "slide_id", "full_outer").agg(
+        F.sum("_m").alias("slides_in_metadata"),
+        F.sum(F.when(F.col("_m").isNotNull(), F.col("_p"))).alias("slides_found"),
+        F.count_if(F.col("_m").isNotNull() & F.col("_p").isNull()).alias("missing_slides"),
     )
     names = ["total_files", "slides_in_metadata", "slides_found", "missing_slides"]
-    counts = tagged.groupBy().agg(*[F.count_if(F.col("k") == n).alias(n) for n in names])
+    parts = files.agg(F.count(F.lit(1)).alias("total_files")).unionByName(both, allowMissingColumns=True)
+    counts = parts.agg(*[F.coalesce(F.sum(n), F.lit(0)).cast("bigint").alias(n) for n in names])
     none = F.raise_error(F.lit("no complete feature sets found")).cast("bigint")
     return counts.withColumn(
         "slides_found", F.when(F.col("slides_found") > 0, F.col("slides_found")).otherwise(none)

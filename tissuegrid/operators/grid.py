@@ -141,9 +141,11 @@ def coverage_window(scale: Column, size: Column) -> tuple[Column, Column]:
 
     The mask is refined by 4 until the window measures at least 8 of its pixels.
     """
-    ladder = F.array(*[F.lit(float(4**n)) for n in range(0, 13)])
     side_at = lambda f: half_even(size.cast("double") / (scale / f))
-    factor = F.filter(ladder, lambda f: side_at(f) >= 8)[0]
+    # a side of 7.5 rounds to 8; the steps around the exact logarithm absorb its rounding
+    steps = F.floor(F.log(F.lit(7.5) * scale / size.cast("double")) / F.log(F.lit(4.0))).cast("int")
+    near = F.transform(F.sequence(F.lit(0), F.lit(2)), lambda n: F.pow(F.lit(4.0), F.greatest(steps + n, F.lit(0))))
+    factor = F.filter(near, lambda f: side_at(f) >= 8)[0]
     return factor.cast("bigint"), side_at(factor)
 
 

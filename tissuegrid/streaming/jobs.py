@@ -63,3 +63,35 @@ def event_rates_stream(
         .start()
     )
     query.awaitTermination()
+
+
+def event_rate_updates(
+    events: DataFrame, sink: str, checkpoint: str, watermark: str = "10 minutes", window: str = "5 minutes"
+) -> None:
+    """Store the count of every window that a batch changed, open windows included, until the source is drained.
+
+    A batch overwrites its own folder, so a repeated batch changes nothing;
+    ``latest_event_rates`` reads the result.
+    """
+
+    def store(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{sink}/batch={batch_id}")
+
+    query = (
+        event_rates(events, watermark, window)
+        .writeStream.outputMode("update")
+        .foreachBatch(store)
+        .option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True)
+        .start()
+    )
+    query.awaitTermination()
+
+
+def latest_event_rates(spark: SparkSession, sink: str) -> DataFrame:
+    """Current counts of all windows: counts only grow, so the largest is the latest."""
+    return (
+        spark.read.parquet(sink)
+        .groupBy("window_start", "window_end", "event", "status")
+        .agg(F.max("n").alias("n"))
+    )
