@@ -223,8 +223,7 @@ def w2(spark, path):
     words = pack_mask(fx.mask(spark, path))
     size = {"scale": F.lit(SCALE), "size": F.lit(SIZE), "h": F.lit(fx.MASK_H), "w": F.lit(fx.MASK_W)}
     points = _points(spark, path).withColumns(size)
-    kept = gr.coverage_filter(points, words, SHARE)
-    return kept.join(gr.coverage_counts(points, words), ["slide_id", "x", "y"]).select("slide_id", "x", "y", "covered")
+    return gr.coverage_filter(points, words, SHARE).select("slide_id", "x", "y", "covered")
 
 
 # --- morphology ------------------------------------------------------------

@@ -202,11 +202,11 @@ def coverage_counts(coords: DataFrame, words: DataFrame) -> DataFrame:
 
 
 def coverage_filter(coords: DataFrame, words: DataFrame, p: float) -> DataFrame:
-    """Tiles whose window is foreground to a share of at least ``p``."""
+    """Tiles whose window is foreground to a share of at least ``p``, with the count as ``covered``."""
     kept = coverage_counts(coords, words).where(
         F.col("covered") / (F.col("side") * F.col("side")).cast("double") >= F.lit(p)
     )
-    return coords.join(kept.select(SLIDE, "x", "y"), [SLIDE, "x", "y"], "left_semi")
+    return coords.join(kept.select(SLIDE, "x", "y", "covered"), [SLIDE, "x", "y"])
 
 
 def heatmap(coords: DataFrame, shape: DataFrame) -> DataFrame:
