@@ -296,6 +296,9 @@ def test_tokens_equal_the_reference_encoder(spark, tiktoken_encoding):
         assert np.frombuffer(got[i]["ends"], "<u4").tolist() == ends
     back = {r["event_id"]: bytes(r["decoded"]) for r in tokens.decode_events(encoded, vocabulary()).collect()}
     assert back == {i: (t or "").encode() for i, t in rows}
+    once = {r["event_id"]: r for r in tokens.round_trip_events(events(spark, rows), vocabulary()).collect()}
+    assert all(once[i]["ids"] == got[i]["ids"] and bytes(once[i]["decoded"]) == back[i] for i in back)
+    assert tokens.round_trip_events(events(spark, rows), vocabulary(), compare=True).where("not round_trip").count() == 0
 
 
 def test_tokens_awkward_rows(spark):

@@ -120,9 +120,8 @@ def op8_embeddings(spark, sf_dir):
 
 @query
 def op9_tokens(spark, sf_dir):
-    encoded = tokens.encode_events(table(spark, sf_dir, "documents"), vocabulary(), **DOC)
-    decoded = tokens.decode_events(encoded, vocabulary(), id_col="doc_id", keep=("n_tokens", "ids"))
-    return decoded.select(
+    found = tokens.round_trip_events(table(spark, sf_dir, "documents"), vocabulary(), **DOC)
+    return found.select(
         "doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")
     )
 

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 
 from .texts import map_texts
 
-CACHE = 200_000
+CACHE = 100_000
 COLUMN = 256
 
 # classes of code points
@@ -235,20 +235,11 @@ def encode_events(
     """
 
     def make():
-        ranks = load_ranks(vocabulary)
-        merged = _Merged(ranks)
-        lengths = np.zeros(max(ranks.values(), default=0) + 1, np.uint32)
-        for token, i in ranks.items():
-            lengths[i] = len(token)
+        encode = _encoder(vocabulary)
+        lengths = _token_lengths(vocabulary) if offsets else None
 
         def work(bodies):
-            texts = [b.decode("utf-8", "replace") for b in bodies]
-            sep = chr(0x10FFFE)
-            # the separator is a noncharacter; a text that holds it is cut alone, with its own sign kept
-            alone = [sep in t for t in texts]
-            joined = sep.join("" if a else t for t, a in zip(texts, alone, strict=True)) + sep
-            packed = _pack(joined, merged, sep)
-            out = [_pack_one(t, merged) if a else p for t, a, p in zip(texts, alone, packed, strict=True)]
+            out = encode(bodies)
             cols = [[len(p) // 4 for p in out], out]
             if offsets:
                 cols.append([np.cumsum(lengths[np.frombuffer(p, "<u4")], dtype=np.uint32).astype("<u4").tobytes() for p in out])
@@ -260,6 +251,43 @@ def encode_events(
     return map_texts(events, [id_col, *keep], text_col, fields, make)
 
 
+def _encoder(vocabulary: str):
+    """A function from UTF-8 texts to their packed ids."""
+    merged = _Merged(load_ranks(vocabulary))
+    sep = chr(0x10FFFE)
+
+    def encode(bodies: list[bytes]) -> list[bytes]:
+        texts = [b.decode("utf-8", "replace") for b in bodies]
+        # the separator is a noncharacter; a text that holds it is cut alone, with its own sign kept
+        alone = [sep in t for t in texts]
+        joined = sep.join("" if a else t for t, a in zip(texts, alone, strict=True)) + sep
+        packed = _pack(joined, merged, sep)
+        return [_pack_one(t, merged) if a else p for t, a, p in zip(texts, alone, packed, strict=True)]
+
+    return encode
+
+
+def _decoder(vocabulary: str):
+    """A function from packed ids to the bytes they stand for."""
+    ranks = load_ranks(vocabulary)
+    tokens = [b""] * (max(ranks.values(), default=0) + 1)
+    for token, i in ranks.items():
+        tokens[i] = token
+
+    def decode(ids: list[bytes]) -> list[bytes]:
+        return [b"".join(map(tokens.__getitem__, np.frombuffer(b, "<u4").tolist())) for b in ids]
+
+    return decode
+
+
+def _token_lengths(vocabulary: str) -> np.ndarray:
+    ranks = load_ranks(vocabulary)
+    lengths = np.zeros(max(ranks.values(), default=0) + 1, np.uint32)
+    for token, i in ranks.items():
+        lengths[i] = len(token)
+    return lengths
+
+
 def _codes(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le"), np.uint32)
 
@@ -290,14 +318,30 @@ def decode_events(
     """``(id_col, *keep, out binary)``: the bytes that packed ids stand for; null ids are none."""
 
     def make():
-        ranks = load_ranks(vocabulary)
-        tokens = [b""] * (max(ranks.values(), default=0) + 1)
-        for token, i in ranks.items():
-            tokens[i] = token
+        decode = _decoder(vocabulary)
+        return lambda bodies: [decode(bodies)]
+
+    return map_texts(encoded, [id_col, *keep], ids_col, [(out, "binary")], make)
+
+
+def round_trip_events(
+    events: DataFrame, vocabulary: str, *, id_col: str = "event_id", text_col: str = "event", compare: bool = False
+) -> DataFrame:
+    """Encode and decode in one pass: ``(id_col, n_tokens long, ids binary, decoded binary)``.
+
+    With ``compare`` the last column is ``round_trip boolean`` instead, whether the decoded bytes are the text's.
+    """
+
+    def make():
+        encode, decode = _encoder(vocabulary), _decoder(vocabulary)
 
         def work(bodies):
-            return [[b"".join(map(tokens.__getitem__, np.frombuffer(b, "<u4").tolist())) for b in bodies]]
+            ids = encode(bodies)
+            back = decode(ids)
+            last = [a == b for a, b in zip(bodies, back, strict=True)] if compare else back
+            return [len(p) // 4 for p in ids], ids, last
 
         return work
 
-    return map_texts(encoded, [id_col, *keep], ids_col, [(out, "binary")], make)
+    last = ("round_trip", "boolean") if compare else ("decoded", "binary")
+    return map_texts(events, [id_col], text_col, [("n_tokens", "long"), ("ids", "binary"), last], make)
