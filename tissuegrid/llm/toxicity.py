@@ -112,8 +112,11 @@ def _train(samples: list[bytes]) -> bytes:
     import zstandard as z
 
     # a bounded list of short units; repeats give the trainer enough material
-    samples = samples * max(1, math.ceil(3000 / len(samples)))
-    return z.train_dictionary(DICT_BYTES, samples).as_bytes()
+    many = samples * max(1, math.ceil(3000 / len(samples)))
+    try:
+        return z.train_dictionary(DICT_BYTES, many).as_bytes()
+    except z.ZstdError:  # too little to train on: the units themselves serve as a dictionary
+        return b"".join(samples)[-DICT_BYTES:].rjust(8)
 
 
 def _calibrate(worst: np.ndarray, label: np.ndarray) -> tuple[float, ...]:
