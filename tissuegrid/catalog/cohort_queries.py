@@ -362,9 +362,14 @@ def a20(spark, path):
 @query(
     "a29_dataset_report",
     fx.with_sql(
-        """SELECT count(DISTINCT slide_id) AS n_slides, CAST(max(len(features)) AS INT) AS feature_dim,
-             'disease_free_months,mitosis,mphr,necrosis,odx85,odx_train,pleomorph,tumor_size' AS labels FROM fx_tiles""",
+        f""", used AS (SELECT label FROM binary_labels WHERE value IS NOT NULL UNION SELECT label FROM regression_labels WHERE value IS NOT NULL
+               UNION SELECT 'mitosis' FROM fx_slide_meta WHERE {MITOSIS} IS NOT NULL)
+            SELECT count(DISTINCT slide_id) AS n_slides, CAST(max(len(features)) AS INT) AS feature_dim,
+              (SELECT string_agg(label, ',' ORDER BY label) FROM used) AS labels FROM fx_tiles""",
         fx.TILES,
+        fx.META,
+        LABELS,
+        REGRESSION,
     ),
 )
 def a29(spark, path):
