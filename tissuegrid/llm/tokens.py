@@ -28,7 +28,9 @@ from pyspark.sql import DataFrame
 
 from .texts import map_texts
 
-CACHE = 100_000
+CACHE = 300_000
+# bytes up to which a slice is merged without a heap
+SHORT = 48
 COLUMN = 256
 
 # classes of code points
@@ -161,6 +163,8 @@ def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     if piece in ranks:
         return [ranks[piece]]
     n = len(piece)
+    if n <= SHORT:
+        return _merge_short(piece, ranks)
     after, before = list(range(1, n + 1)), list(range(-1, n - 1))
     end = list(range(1, n + 1))
     heap = []
@@ -195,6 +199,24 @@ def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     return out
 
 
+def _merge_short(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
+    """The same for few bytes, where looking through all pairs is cheaper than a heap."""
+    none = len(ranks) + (1 << 30)
+    ends = list(range(len(piece) + 1))
+    pairs = [ranks.get(piece[i : i + 2], none) for i in range(len(piece) - 1)]
+    while pairs:
+        least = min(pairs)
+        if least == none:
+            break
+        i = pairs.index(least)
+        del ends[i + 1], pairs[i]
+        if i < len(pairs):
+            pairs[i] = ranks.get(piece[ends[i] : ends[i + 2]], none)
+        if i:
+            pairs[i - 1] = ranks.get(piece[ends[i - 1] : ends[i + 1]], none)
+    return [ranks[piece[a:b]] for a, b in zip(ends, ends[1:])]
+
+
 @lru_cache(maxsize=2)
 def load_ranks(path: str) -> dict[bytes, int]:
     """Ranks of a vocabulary file that every worker has installed."""
