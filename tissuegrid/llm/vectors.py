@@ -58,14 +58,28 @@ def _unit(vectors: np.ndarray) -> np.ndarray:
     return v / np.sqrt(np.einsum("ij,ij->i", v, v))[:, None]
 
 
-def band_keys(unit: np.ndarray, bits: int, bands: int) -> np.ndarray:
-    """One whole number per row and band from the signs of as many rotations as needed."""
+def band_signs(unit: np.ndarray, bits: int, bands: int) -> np.ndarray:
+    """Sign bits of every row by band, from as many rotations as needed."""
     need, found, turn = bits * bands, [], 0
     while sum(f.shape[1] for f in found) < need:
         found.append(unit @ rotation(unit.shape[1], turn).T > 0)
         turn += 1
-    signs = np.concatenate(found, axis=1)[:, :need].reshape(len(unit), bands, bits)
-    return signs.astype(np.int64) @ (np.int64(1) << np.arange(bits, dtype=np.int64))
+    return np.concatenate(found, axis=1)[:, :need].reshape(len(unit), bands, bits)
+
+
+def band_keys(signs: np.ndarray) -> np.ndarray:
+    """One whole number per row and band."""
+    return signs.astype(np.int64) @ (np.int64(1) << np.arange(signs.shape[2], dtype=np.int64))
+
+
+def first_band(packed: np.ndarray, i: np.ndarray, j: np.ndarray, bits: int, bands: int) -> np.ndarray:
+    """First band in which rows i and j agree; ``packed`` holds the sign bits of a row as bytes."""
+    out = np.empty(i.size, np.int64)
+    for at in range(0, i.size, 10_000):
+        a, b = i[at : at + 10_000], j[at : at + 10_000]
+        apart = np.unpackbits(packed[a] ^ packed[b], axis=1, count=bits * bands).reshape(a.size, bands, bits).any(axis=2)
+        out[at : at + a.size] = (~apart).argmax(axis=1)
+    return out
 
 
 def _matrix(column: pa.ChunkedArray) -> np.ndarray:
@@ -74,11 +88,10 @@ def _matrix(column: pa.ChunkedArray) -> np.ndarray:
     return values.reshape(len(flat), -1)
 
 
-def tile_links(unit: np.ndarray, first_band: np.ndarray, band: int, cross: np.ndarray | None, threshold: float):
-    """Links ``(i, j)`` inside one meeting place, in chunks, that this band is the first to see.
+def tile_links(unit: np.ndarray, cross: np.ndarray | None, threshold: float):
+    """Links ``(i, j)`` inside one meeting place, in chunks.
 
-    ``first_band`` holds all band keys of the rows; ``cross`` the rows' blocks if only
-    pairs of different blocks count.
+    ``cross`` holds the rows' blocks if only pairs of different blocks count.
     """
     turned = unit @ rotation(unit.shape[1], 0).T
     code = np.where(turned > 0, 1.0, -1.0) / math.sqrt(turned.shape[1])
@@ -97,9 +110,7 @@ def tile_links(unit: np.ndarray, first_band: np.ndarray, band: int, cross: np.nd
             keep &= cross[i] != cross[j]
         i, j = i[keep], j[keep]
         exact = np.einsum("ij,ij->i", unit[i], unit[j]) >= threshold
-        i, j = i[exact], j[exact]
-        first = (first_band[i] == first_band[j]).argmax(axis=1) == band
-        yield i[first], j[first]
+        yield i[exact], j[exact]
 
 
 def near_tiles(
@@ -125,7 +136,10 @@ def near_tiles(
     """
     spark = tiles.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    vector = F.col(vector_col).cast("array<double>")
+    given = tiles.schema[vector_col].dataType
+    single = isinstance(given, T.ArrayType) and isinstance(given.elementType, T.FloatType)
+    # single precision travels as it is and is computed in double
+    vector = F.col(vector_col).cast("array<float>" if single else "array<double>")
     finite = F.forall("_v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
     sound = F.col("_id").isNotNull() & F.col("_g").isNotNull() & F.col("_v").isNotNull() & finite & F.exists("_v", lambda x: x != 0)
     rows = tiles.select(F.col(id_col).alias("_id"), F.col(group_col).alias("_g"), vector.alias("_v"))
@@ -154,24 +168,24 @@ def near_tiles(
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 for t in by_width(batch.slice(at, 512), "_v"):
-                    keys = band_keys(_unit(_matrix(t.column("_v"))), bits, bands)
+                    signs = band_signs(_unit(_matrix(t.column("_v"))), bits, bands)
+                    keys, packed = band_keys(signs), np.packbits(signs.reshape(len(signs), -1), axis=1)
                     cols = [t.column(c).combine_chunks() for c in content]
                     cols.append(pa.ListArray.from_arrays(np.arange(0, keys.size + 1, bands, dtype=np.int32), keys.ravel()))
-                    yield pa.RecordBatch.from_arrays(cols, names=[*content, "_bands"])
+                    cols.append(pa.array([row.tobytes() for row in packed], pa.binary()))
+                    yield pa.RecordBatch.from_arrays(cols, names=[*content, "_bands", "_signs"])
 
-    sketches = cut(
-        kinds.select(*content, "_v").mapInArrow(sketch, T.StructType([*kind.fields, T.StructField("_bands", T.ArrayType(T.LongType()))])),
-        "sketches",
-    )
+    sketch_type = T.StructType(kind.fields).add("_bands", T.ArrayType(T.LongType())).add("_signs", "binary")
+    sketches = cut(kinds.select(*content, "_v").mapInArrow(sketch, sketch_type), "sketches")
     keyed = sketches.select(*content, F.posexplode("_bands").alias("_band", "_key"))
     met = tiled(keyed, ["_s", "_band", "_key"], F.col("_h"), parts)
     # only rows with a partner carry their vectors along
     place = ["_s", "_band", "_key", "_ti", "_tj"]
-    body = kinds.join(sketches, content).select("_h", "_m", F.col("_s").alias("_s0"), "_rep", "_copies", "_v", "_bands")
+    body = kinds.join(sketches, content).select("_h", "_m", F.col("_s").alias("_s0"), "_rep", "_copies", "_v", "_signs")
     met = met.withColumnsRenamed({"_h": "_h1", "_m": "_m1"})
     full = (
         met.join(body, (F.col("_h1") == F.col("_h")) & (F.col("_m1") == F.col("_m")) & (F.col("_s") == F.col("_s0")))
-        .select(*place, "_block", "_h", "_m", "_rep", "_copies", "_v", "_bands")
+        .select(*place, "_block", "_h", "_m", "_rep", "_copies", "_v", "_signs")
         .repartition(parts, *place)
         .sortWithinPartitions(*place, "_block")
     )
@@ -193,8 +207,11 @@ def near_tiles(
                     continue
                 own = table.slice(a, b - a)
                 unit = _unit(_matrix(own.column("_v")))
-                bands_of = _matrix(own.column("_bands")).astype(np.int64)
-                for i, j in tile_links(unit, bands_of, int(band[a]), block[a:b] if cross[a] else None, threshold):
+                packed = np.frombuffer(b"".join(own.column("_signs").to_pylist()), np.uint8).reshape(b - a, -1)
+                for i, j in tile_links(unit, block[a:b] if cross[a] else None, threshold):
+                    # other bands in which a pair meets count it no more
+                    here = first_band(packed, i, j, bits, bands) == band[a]
+                    i, j = i[here], j[here]
                     np.add.at(counts, a + i, copies[a + j])
                     np.add.at(counts, a + j, copies[a + i])
                     forest.add(a + i, a + j)
