@@ -39,12 +39,19 @@ PATCH_INFO = [
 
 
 def coalesce_cells(tiles: DataFrame, features: str = "features") -> DataFrame:
-    """Tiles that share a cell are summed element by element.
+    """Tiles that share a cell are summed element by element; others pass through untouched.
 
-    One aggregate, merged on the map side; a cell of one tile keeps its vector as it is.
+    Cells seldom repeat, so those that do are found on positions alone and only their
+    vectors go through an aggregate. The list of repeated cells is a stored table,
+    whose bytes decide whether the joins with it broadcast.
     """
     kind = tiles.schema[features].dataType
-    return tiles.groupBy(*CELL).agg(vector_sum(features).cast(kind).alias(features))
+    repeated = cut(
+        tiles.groupBy(*CELL).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > 1).select(*CELL), "repeated"
+    )
+    single = tiles.join(repeated, CELL, "left_anti").select(*CELL, features)
+    summed = tiles.join(repeated, CELL, "left_semi").groupBy(*CELL).agg(vector_sum(features).cast(kind).alias(features))
+    return single.unionByName(summed)
 
 
 def active_cells(tiles: DataFrame, features: str = "features", unique: bool = False) -> DataFrame:
