@@ -164,8 +164,11 @@ WIDE_MASK = f"""wide_mask AS MATERIALIZED (
   LEFT JOIN fx_wide w ON w.slide_id = g.slide_id AND w.r = g.r AND w.c = g.c)"""
 
 
-def wide_mask(spark: SparkSession, path: str) -> DataFrame:
-    cells = wide(spark, path).where(F.col("slide_id") % 10 == 0)
+# the same on every slide
+WIDE_MASK_ALL = WIDE_MASK.replace("wide_mask AS", "wide_mask_all AS").replace(" WHERE slide_id % 10 = 0", "")
+
+
+def _full_mask(cells: DataFrame) -> DataFrame:
     grid = (
         cells.select("slide_id").distinct()
         .select("slide_id", F.explode(F.sequence(F.lit(0), F.lit(WIDE_H - 1))).alias("r"))
@@ -174,6 +177,14 @@ def wide_mask(spark: SparkSession, path: str) -> DataFrame:
     return grid.join(cells.withColumn("v", F.lit(1)), ["slide_id", "r", "c"], "left").withColumn("v", F.coalesce("v", F.lit(0)))
 
 
+def wide_mask(spark: SparkSession, path: str) -> DataFrame:
+    return _full_mask(wide(spark, path).where(F.col("slide_id") % 10 == 0))
+
+
+def wide_mask_all(spark: SparkSession, path: str) -> DataFrame:
+    return _full_mask(wide(spark, path))
+
+
 # --- slide metadata from orders (slides) and customers (patients) ----------
 
 META = """fx_slide_meta AS MATERIALIZED (

@@ -338,6 +338,35 @@ def w8_wide(spark, path):
     return mk.closing(fx.wide_mask(spark, path), 9)
 
 
+def _lines_sql(step) -> str:
+    """One row a line of pixels: how many are set and the sums of their columns and squared columns."""
+    s = Steps(fx.WIDE, fx.WIDE_MASK_ALL)
+    return s.text(
+        "SELECT slide_id, r, CAST(sum(v) AS BIGINT) AS n, CAST(sum(v * c) AS BIGINT) AS c_sum, "
+        f"CAST(sum(v * c * c) AS BIGINT) AS c2_sum FROM {step(s)} GROUP BY slide_id, r"
+    )
+
+
+def _lines(mask):
+    v, c = F.col("v").cast("bigint"), F.col("c")
+    return mask.groupBy("slide_id", "r").agg(F.sum(v).alias("n"), F.sum(v * c).alias("c_sum"), F.sum(v * c * c).alias("c2_sum"))
+
+
+@query("r4_wide_all_fill_holes", _lines_sql(lambda s: s.fill(s.dilate("wide_mask_all", 4))))
+def r4_wide_all(spark, path):
+    return _lines(mk.fill_holes(mk.dilate(fx.wide_mask_all(spark, path), 4)))
+
+
+@query("w7_wide_all_dilate", _lines_sql(lambda s: s.dilate("wide_mask_all", 70)))
+def w7_wide_all(spark, path):
+    return _lines(mk.dilate(fx.wide_mask_all(spark, path), 70))
+
+
+@query("w8_wide_all_closing", _lines_sql(lambda s: s.closing("wide_mask_all", 9)))
+def w8_wide_all(spark, path):
+    return _lines(mk.closing(fx.wide_mask_all(spark, path), 9))
+
+
 @query("r1_mask_components", _components_sql())
 def r1_mask(spark, path):
     return cc.connected_components(fx.mask(spark, path).where(F.col("v") == 1))
