@@ -8,6 +8,7 @@ from ..functions import scalars as sc
 from ..operators import components as cc
 from ..operators import grid as gr
 from ..operators import mask as mk
+from ..operators import tissue as ts
 from ..operators.words import mask_shape, pack_mask
 from ..params import CleanParams, TilingParams
 from ..plans import pipelines as pl
@@ -286,6 +287,106 @@ def a21(spark, path):
     return mk.triangle_threshold(_gray(spark, path), "gray").withColumn("threshold", F.round("threshold", 9)).drop("gray")
 
 
+# --- tissue mixture --------------------------------------------------------
+
+GRAY_255 = "gray255 AS MATERIALIZED (SELECT slide_id, r, c, gray * 255 AS gray FROM fx_gray)"
+# lines of an order as pixels of their supplier's slide: no clear parts, so that fits take many rounds
+LINES_255 = """lines255 AS MATERIALIZED (
+  SELECT l_suppkey AS slide_id, l_quantity * 4.5 + l_discount * 250 AS gray FROM lineitem)"""
+
+
+def _mixture_steps(table: str, bandwidth: float = 2.0, rounds: int = 100, tolerance: float = 1e-3) -> str:
+    """CTEs up to ``fitted``: one row per slide with its mixture; a round joins the bins of slides that still move."""
+    odds = (
+        "(ln({p}.share) - ln(1 - {p}.share) - 0.5 * ln({p}.dark_var) - (b - {p}.dark) * (b - {p}.dark) / (2 * {p}.dark_var) "
+        "+ 0.5 * ln({p}.bright_var) + (b - {p}.bright) * (b - {p}.bright) / (2 * {p}.bright_var))"
+    )
+    share = "(1 / (1 + exp(-greatest(-700.0, least(700.0, " + odds + ")))))"
+    moments = (
+        "s0 / t0 AS share, s1 / s0 AS dark, greatest(s2 / s0 - (s1 / s0) * (s1 / s0), 1.0) AS dark_var, (t1 - s1) / (t0 - s0) AS bright, "
+        "greatest((t2 - s2) / (t0 - s0) - ((t1 - s1) / (t0 - s0)) * ((t1 - s1) / (t0 - s0)), 1.0) AS bright_var"
+    )
+    reach = int(-(-4 * bandwidth // 1))
+    return f"""
+  counts AS MATERIALIZED (SELECT slide_id, CAST(greatest(0, least(255, floor(gray))) AS INT) AS b, count(*) AS n FROM {table} GROUP BY ALL),
+  density AS MATERIALIZED (SELECT slide_id, b + o AS b, sum(n * exp(-0.5 * (o / {bandwidth!r}) * (o / {bandwidth!r}))) AS d
+    FROM counts CROSS JOIN (SELECT unnest(range(-{reach}, {reach + 1})) AS o) k WHERE b + o BETWEEN 0 AND 255 GROUP BY ALL),
+  totals AS MATERIALIZED (SELECT slide_id, sum(d) AS t0, sum(d * b) AS t1, sum(d * b * b) AS t2 FROM density
+    WHERE slide_id IN (SELECT slide_id FROM counts GROUP BY slide_id HAVING count(*) > 1) GROUP BY slide_id),
+  start AS (SELECT slide_id, 0 AS rounds, false AS settled, {moments} FROM (
+    SELECT t.*, sum(d) AS s0, sum(d * b) AS s1, sum(d * b * b) AS s2 FROM totals t JOIN density x USING (slide_id) WHERE b <= t1 / t0 GROUP BY ALL) s),
+  fit AS (SELECT slide_id, 0 AS turn, rounds, settled, share, dark, dark_var, bright, bright_var FROM start
+    UNION ALL
+    SELECT slide_id, turn + 1,
+      CASE WHEN s0 BETWEEN 1e-6 * t0 AND (1 - 1e-6) * t0 THEN turn + 1 ELSE o.rounds END,
+      CASE WHEN s0 BETWEEN 1e-6 * t0 AND (1 - 1e-6) * t0 THEN abs(n.dark - o.dark) < {tolerance!r} AND abs(n.bright - o.bright) < {tolerance!r} ELSE true END,
+      {", ".join(f"CASE WHEN s0 BETWEEN 1e-6 * t0 AND (1 - 1e-6) * t0 THEN n.{c} ELSE o.{c} END" for c in ("share", "dark", "dark_var", "bright", "bright_var"))}
+    FROM (SELECT slide_id, turn, o, s0, t0, {{{", ".join(f"'{m.rsplit(' AS ', 1)[1]}': {m.rsplit(' AS ', 1)[0]}" for m in _split(moments))}}} AS n FROM (
+      SELECT f.slide_id, f.turn, any_value({{'rounds': f.rounds, 'share': f.share, 'dark': f.dark, 'dark_var': f.dark_var, 'bright': f.bright, 'bright_var': f.bright_var}}) AS o,
+        any_value(t0) AS t0, any_value(t1) AS t1, any_value(t2) AS t2,
+        sum(d * {share.format(p="f")}) AS s0, sum(d * {share.format(p="f")} * b) AS s1, sum(d * {share.format(p="f")} * b * b) AS s2
+      FROM fit f JOIN density x USING (slide_id) JOIN totals t USING (slide_id) WHERE NOT f.settled AND f.turn < {rounds} GROUP BY f.slide_id, f.turn) s) u),
+  fitted AS MATERIALIZED (SELECT * FROM fit QUALIFY row_number() OVER (PARTITION BY slide_id ORDER BY turn DESC) = 1),
+  limits AS MATERIALIZED (SELECT slide_id, max(b) FILTER (b <= p.bright AND {share.format(p="p")} >= 0.05) AS threshold
+    FROM fitted p CROSS JOIN (SELECT unnest(range(256)) AS b) g GROUP BY slide_id)"""
+
+
+def _split(moments: str) -> list[str]:
+    """The five columns of a list of columns, cut at their names."""
+    out, at = [], 0
+    for name in ("share", "dark", "dark_var", "bright", "bright_var"):
+        end = moments.index(f" AS {name}", at) + len(f" AS {name}")
+        out.append(moments[at:end].lstrip(", "))
+        at = end
+    return out
+
+
+def _mixture_sql(table: str, *tables: str) -> str:
+    return fx.with_sql(
+        f""",{_mixture_steps(table)}
+        SELECT s.slide_id, {", ".join(f"round({c}, 4) AS {c}" for c in ("share", "dark", "dark_var", "bright", "bright_var"))},
+               coalesce(rounds, 0) AS rounds, coalesce(settled, true) AS settled
+        FROM (SELECT DISTINCT slide_id FROM counts) s LEFT JOIN fitted f USING (slide_id)""",
+        *tables,
+        recursive=True,
+    )
+
+
+def _mixture(gray):
+    found = ts.tissue_mixture(gray, "gray")
+    return found.withColumns({c: F.round(c, 4) for c in ("share", "dark", "dark_var", "bright", "bright_var")})
+
+
+def _gray_255(spark, path):
+    return _gray(spark, path).withColumn("gray", F.col("gray") * 255)
+
+
+@query("a30_tissue_mixture", _mixture_sql("gray255", fx.MASK, GRAY_DOUBLE, GRAY_255))
+def a30(spark, path):
+    return _mixture(_gray_255(spark, path))
+
+
+@query("a30_tissue_mixture_lines", _mixture_sql("lines255", LINES_255))
+def a30_lines(spark, path):
+    gray = F.col("l_quantity") * 4.5 + F.col("l_discount") * 250
+    return _mixture(fx.table(spark, path, "lineitem").select(F.col("l_suppkey").alias("slide_id"), gray.alias("gray")))
+
+
+@query(
+    "a31_simple_mask",
+    fx.with_sql(
+        f""",{_mixture_steps("gray255")}
+        SELECT slide_id, r, c, threshold, CASE WHEN floor(gray) <= threshold THEN 1 ELSE 0 END AS v FROM gray255 JOIN limits USING (slide_id)""",
+        fx.MASK,
+        GRAY_DOUBLE,
+        GRAY_255,
+        recursive=True,
+    ),
+)
+def a31(spark, path):
+    return ts.simple_mask(_gray_255(spark, path)).drop("gray")
+
+
 # --- graph steps -----------------------------------------------------------
 
 
@@ -435,13 +536,12 @@ def _slides(spark, path):
     )
 
 
-def _sample_sql() -> str:
-    s = Steps(fx.MASK, GRAY_DOUBLE)
-    # slides with a number divisible by five have no mask
-    good = s.add("SELECT slide_id FROM fx_mask WHERE slide_id % 5 <> 0 GROUP BY slide_id HAVING avg(v) >= 0.15")
-    second = s.add("WITH " + TRIANGLE[2:])
+def _sample_sql(first: str = "fx_mask", having: str = "slide_id % 5 <> 0", *more: str) -> str:
+    s = Steps(fx.MASK, GRAY_DOUBLE, *more)
+    good = s.add(f"SELECT slide_id FROM {first} WHERE {having} GROUP BY slide_id HAVING avg(v) >= 0.15")
+    second = s.add("WITH " + (TRIANGLE[2:] if not more else TRIANGLE[2:].replace("fx_gray", "gray255")))
     start = s.add(
-        f"SELECT slide_id, r, c, v FROM fx_mask WHERE slide_id IN (SELECT slide_id FROM {good}) "
+        f"SELECT slide_id, r, c, v FROM {first} WHERE slide_id IN (SELECT slide_id FROM {good}) "
         f"UNION ALL SELECT slide_id, r, c, v FROM {second} WHERE slide_id NOT IN (SELECT slide_id FROM {good})"
     )
     clean = _clean(s, start)
@@ -450,7 +550,17 @@ def _sample_sql() -> str:
     return s.text(f"SELECT slide_id, x, y, {SIZE} AS size, CAST({SCALE} AS DOUBLE) AS scale FROM kept")
 
 
+# slides with a number divisible by five have no mask
 @query("r8_sample_points", _sample_sql())
 def r8(spark, path):
     given = fx.mask(spark, path).where(F.col("slide_id") % 5 != 0)
     return pl.sample_points(_slides(spark, path), given, CLEAN, TILING, gray=_gray(spark, path))
+
+
+FIRST_MASK = """first_mask AS MATERIALIZED (
+  SELECT slide_id, r, c, CASE WHEN floor(gray) <= threshold THEN 1 ELSE 0 END AS v FROM gray255 JOIN limits USING (slide_id))"""
+
+
+@query("r8_points_from_gray", _sample_sql("first_mask", "true", GRAY_255, _mixture_steps("gray255").strip(), FIRST_MASK))
+def r8_gray(spark, path):
+    return pl.sample_points(_slides(spark, path), None, CLEAN, TILING, gray=_gray_255(spark, path))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import sampling_size
 from ..functions.skew import attach_by_key
-from ..operators import cohort, grid, mask, patches
+from ..operators import cohort, grid, mask, patches, tissue
 from ..operators.words import SLIDE, mask_shape, pack_mask
 from ..params import CleanParams, ForegroundParams, PatchParams, TilingParams
 from ..session import cut
@@ -30,9 +30,18 @@ def foreground_mask(
     return good.unionByName(second.select(SLIDE, "r", "c", "v"))
 
 
+def tissue_mask(gray: DataFrame, p: ForegroundParams = ForegroundParams(), value: str = "gray") -> DataFrame:
+    """``(slide_id, r, c, v)``: the two-part mixture's mask, and the triangle threshold where that covers too little.
+
+    ``value`` runs from 0 to 255. All pixels are counted, so no sampling fraction is needed.
+    """
+    first = tissue.simple_mask(gray, value, p.min_tissue_prob, float(p.bandwidth)).select(SLIDE, "r", "c", "v")
+    return foreground_mask(cut(first, "tissue-mask"), gray, p, value)
+
+
 def sample_points(
     slides: DataFrame,
-    mask_rows: DataFrame,
+    mask_rows: DataFrame | None,
     clean: CleanParams = CleanParams(),
     tiling: TilingParams = TilingParams(),
     gray: DataFrame | None = None,
@@ -42,9 +51,12 @@ def sample_points(
 
     ``slides`` has ``(slide_id, full_h, mag)``. Masks are cleaned, boxed, gridded and
     filtered by coverage; a slide whose mask comes out empty gives no rows. With ``gray``
-    pixels, slides whose mask is missing or too small start from their own threshold.
+    pixels, slides whose mask is missing or too small start from their own threshold; without
+    ``mask_rows`` all slides start from ``tissue_mask`` of ``gray``.
     """
-    if gray is not None:
+    if mask_rows is None:
+        mask_rows = tissue_mask(gray, foreground)
+    elif gray is not None:
         mask_rows = foreground_mask(mask_rows, gray, foreground)
     words = cut(mask.clean_words(pack_mask(mask_rows), clean), "mask")
     info = mask_shape(words).join(slides, SLIDE).select(
