@@ -1,6 +1,7 @@
 """Mixing of cohorts and near-duplicate tiles."""
 
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -159,3 +160,29 @@ def test_recall_at_the_threshold():
     keys = [vectors.band_keys(vectors.band_signs(v, bits, bands)) for v in (x, z)]
     met = (keys[0] == keys[1]).any(1)
     assert met.mean() > 0.99
+
+
+def test_take_mix_against_a_plain_version(spark):
+    rng = random.Random(8)
+    rows = [(i, rng.choice("abc"), rng.randrange(0, 40), f"t{i}") for i in range(200)]
+    # one id on unlike rows, equal rows, no id: names that are not a row's own
+    rows += [(7, "a", 5, f"u{i}") for i in range(30)] + [(8, "b", 6, "same")] * 40 + [(None, None, 3, f"v{i % 3}") for i in range(20)]
+    df = spark.createDataFrame(rows, "slide_id long, cohort string, n_tiles int, _k string")
+    got = Counter(tuple(r) for r in mixing.take_mix(df).collect())
+    drawn = Counter()
+    for r in mixing.mix_cohorts(df).collect():
+        drawn[r["slide_id"], r["cohort"], r["size"]] += r["copies"]
+    by_name, have = Counter(), Counter(rows)
+    for row, n in got.items():
+        by_name[row[:3]] += n
+        assert n <= 2 * have[row]
+    assert by_name == +drawn
+    assert got == Counter(tuple(r) for r in mixing.take_mix(df.repartition(5)).collect())
+
+
+def test_take_mix_moves_whole_rows_once(spark):
+    df = spark.range(1000).selectExpr("id AS slide_id", "'a' AS cohort", "10 AS n_tiles", "repeat('x', 50) AS text")
+    taken = mixing.take_mix(df)
+    tree = taken._jdf.queryExecution().executedPlan().toString()
+    moved = [line for line in tree.splitlines() if "Exchange hashpartitioning" in line]
+    assert len(moved) <= 2 and 900 <= taken.count() <= 2000

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-
+from ..functions.ranking import bucketed_prefix_sum
 from ..session import cut
 
 # rows of one cohort that meet in one task, and residuals that meet on the next level
@@ -218,24 +218,56 @@ def mix_cohorts(
     )
 
 
+def _names(id_: Column, cohort: Column, size: Column) -> list[Column]:
+    """128 bits that stand for an id, a cohort and a size, nulls told apart."""
+    parts = [id_, id_.isNull(), cohort, cohort.isNull(), size]
+    return [F.xxhash64(*parts).alias("_k"), F.xxhash64(F.lit(1), *parts).alias("_m")]
+
+
 def take_mix(
-    slides: DataFrame, *, id_col: str = "slide_id", cohort_col: str = "cohort", size_col: str = "n_tiles", **how
+    slides: DataFrame, *, id_col: str = "slide_id", cohort_col: str = "cohort", size_col: str = "n_tiles", cap: float = 2.0, **how
 ) -> DataFrame:
     """All columns of ``slides``, each row as often as ``mix_cohorts`` takes it (``how``: its other parameters).
 
-    Slides of size 0 are not taken. Rows that repeat an id are matched in the order of cohort and size.
+    Slides of size 0 are not taken. Rows that share id, cohort and size are as many draws: the
+    highest of them go to the rows of least hash, and equal rows are taken together.
+
+    Whole rows meet their number once, by a name of id, cohort and size.
     """
-    mixed = mix_cohorts(slides, id_col=id_col, cohort_col=cohort_col, size_col=size_col, **how)
-    turn = lambda i, c, n: F.row_number().over(Window.partitionBy(i).orderBy(c, n))
-    counted = mixed.select(
-        F.col(id_col).alias("_i"), "copies", turn(id_col, F.col(cohort_col), F.col("size")).alias("_k")
-    )
+    mixed = mix_cohorts(slides, id_col=id_col, cohort_col=cohort_col, size_col=size_col, cap=cap, **how)
+    name = ["_k", "_m"]
+    drawn = mixed.select(*_names(F.col(id_col), F.col(cohort_col), F.col("size")), "copies")
+    # how many rows of a name are taken so many times; at most cap + 1 numbers
+    times = [F.sum((F.col("copies") == i).cast("long")).alias(f"_x{i}") for i in range(int(cap) + 1)]
+    plan = cut(drawn.groupBy(*name).agg(F.count("*").alias("_n"), F.max("copies").alias("_copies"), *times), "mix-plan")
     size = F.greatest(F.coalesce(F.col(size_col).cast("long"), F.lit(0)), F.lit(0))
     # a struct keeps any column name apart from ours
-    rows = slides.select(F.struct(*[F.col(c) for c in slides.columns]).alias("_row"), F.col(id_col).alias("_id"), F.col(cohort_col).alias("_c"), size.alias("_n"))
-    numbered = rows.withColumn("_turn", turn("_id", F.col("_c"), F.col("_n")))
-    both = numbered.join(counted, F.col("_id").eqNullSafe(F.col("_i")) & (F.col("_turn") == F.col("_k")))
-    return both.select("_row", F.explode(F.array_repeat(F.lit(1), F.col("copies")))).select("_row.*")
+    row = F.struct(*[F.col(c) for c in slides.columns]).alias("_row")
+    rows = slides.select(row, *_names(F.col(id_col), F.col(cohort_col), size))
+    single = plan.where("_n = 1 and _copies > 0").select(*name, "_copies")
+    repeated = plan.where("_n > 1 and _n > _x0").drop("_copies")
+    each = lambda df: df.select("_row", F.explode(F.array_repeat(F.lit(1), F.col("_copies").cast("int")))).select("_row.*")
+    taken = each(rows.join(single, name))
+    return taken if repeated.isEmpty() else taken.unionByName(each(_shared_draws(rows, repeated, name, int(cap))))
+
+
+def _shared_draws(rows: DataFrame, repeated: DataFrame, name: list[str], cap: int) -> DataFrame:
+    """``(_row, _copies)`` of rows whose name is not theirs alone, one row for all equal ones."""
+    again = cut(rows.join(repeated.select(*name), name, "left_semi"), "mix-repeated")
+    mark = F.to_json("_row", {"ignoreNullFields": "false"})
+    keyed = again.withColumn("_p", F.xxhash64(mark)).withColumn("_q", F.xxhash64(F.lit(1), mark))
+    key = [*name, "_p", "_q"]
+    # equal rows merge where they lie before any of them moves
+    equal = keyed.groupBy(*key).agg(F.count("*").alias("_same"))
+    before = bucketed_prefix_sum(equal, "_same", "_before", by=name, keys=[F.col("_p"), F.col("_q")], order=[F.col("_p"), F.col("_q")])
+    copies, start = F.lit(0).cast("long"), F.lit(0).cast("long")
+    for i in range(cap, 0, -1):
+        stop = start + F.col(f"_x{i}")
+        inside = F.least(F.col("_before") + F.col("_same"), stop) - F.greatest(F.col("_before"), start)
+        copies, start = copies + i * F.greatest(inside, F.lit(0)), stop
+    counted = before.join(repeated, name).select(*key, copies.alias("_copies")).where("_copies > 0")
+    first = keyed.groupBy(*key).agg(F.any_value("_row").alias("_row"))
+    return first.join(counted, key).select("_row", "_copies")
 
 
 def word_count(text: str | Column) -> Column:

@@ -41,37 +41,36 @@ def _bucket(feature: Column, buckets: int) -> Column:
     return F.pmod(F.crc32(feature.cast("binary")), F.lit(buckets)).cast("int")
 
 
+def _starts(words: Column, n: int) -> Column:
+    """Places, from 0, where a run of ``n`` begins."""
+    return F.when(F.size(words) >= n, F.sequence(F.lit(0), F.size(words) - n)).otherwise(F.array().cast("array<int>"))
+
+
 def _runs(words: Column, max_n: int, buckets: int) -> Column:
     """Buckets of all runs of one to ``max_n`` of ``words``, repeats kept."""
+
+    def of(n: int) -> Column:
+        return F.transform(_starts(words, n), lambda i: _bucket(F.array_join(F.slice(words, i + 1, F.lit(n)), " "), buckets))
+
     found = F.transform(words, lambda w: _bucket(w, buckets))
-    if max_n == 1:
-        return found
-    starts = lambda n: F.when(F.size(words) >= n, F.sequence(F.lit(1), F.size(words) - n + 1)).otherwise(F.array().cast("array<int>"))
-    longer = [
-        F.transform(starts(n), lambda i, n=n: _bucket(F.array_join(F.slice(words, i, F.lit(n)), " "), buckets)) for n in range(2, max_n + 1)
-    ]
-    return F.concat(found, *longer)
+    return found if max_n == 1 else F.concat(found, *[of(n) for n in range(2, max_n + 1)])
 
 
 def _crossing(text: Column, max_n: int, buckets: int) -> Column:
     """Buckets of runs whose words stand on more than one line."""
-    none = F.array().cast("array<int>")
     if max_n == 1:
-        return none
+        return F.array().cast("array<int>")
     placed = F.flatten(
         F.transform(F.split(text, "\n"), lambda line, i: F.transform(words_of(line), lambda w: F.struct(w.alias("w"), i.alias("line"))))
     )
 
-    def found(p: Column) -> Column:
-        out = []
-        for n in range(2, max_n + 1):
-            starts = F.when(F.size(p) >= n, F.sequence(F.lit(0), F.size(p) - n)).otherwise(none)
-            over = F.filter(starts, lambda i, n=n: F.get(p, i)["line"] != F.get(p, i + n - 1)["line"])
-            run = lambda i, n=n: F.array_join(F.transform(F.slice(p, i + 1, F.lit(n)), lambda x: x["w"]), " ")
-            out.append(F.transform(over, lambda i, run=run: _bucket(run(i), buckets)))
-        return F.concat(*out)
+    def of(p: Column, n: int) -> Column:
+        over = F.filter(_starts(p, n), lambda i: F.get(p, i)["line"] != F.get(p, i + n - 1)["line"])
+        run = lambda i: F.array_join(F.transform(F.slice(p, i + 1, F.lit(n)), lambda x: x["w"]), " ")
+        return F.transform(over, lambda i: _bucket(run(i), buckets))
 
-    return F.get(F.transform(F.array(placed), found), F.lit(0))
+    # the placed words are worked out once for all lengths
+    return F.get(F.transform(F.array(placed), lambda p: F.concat(*[of(p, n) for n in range(2, max_n + 1)])), F.lit(0))
 
 
 def _keys(col: str) -> list[Column]:
