@@ -6,6 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from ..operators import attention as at
+from ..operators import influence as inf
 from ..operators import patches as pt
 from ..operators import stencil as st
 from . import fixtures as fx
@@ -137,3 +138,52 @@ def n3(spark, path):
     both = [df.withColumn("live", F.exists("features", lambda x: x != 0)) for df in (fine, pt.coalesce_cells(halves))]
     found = at.attend(*both, RELATIVE, by=["slide_id"], token=["gx", "gy"], mask="live", query_shape=(8, 8), key_shape=(4, 4))
     return _exploded(found, "slide_id", "gx", "gy").withColumns({c: F.col(c).cast("int") for c in ("gx", "gy")})
+
+
+# --- influence of regions ------------------------------------------------------
+
+HEAD = rule(64, 2, seed=3, by=40.0)
+HEAD_BIAS = [0.2, -0.1]
+# regions are the tiles of a label
+LEAVE_OUT = f""",
+  scored AS MATERIALIZED (SELECT patient_id, label AS region_id, list_sum(list_transform(features[1:4], lambda x: x::DOUBLE)) AS l,
+    {", ".join(f"list_dot_product(features::DOUBLE[], {[float(x) for x in HEAD[:, c]]}::DOUBLE[]) AS y{c}" for c in range(2))} FROM fx_tiles),
+  regions AS (SELECT patient_id, region_id, count(*) AS n_tiles FROM scored GROUP BY ALL),
+  whole AS (SELECT patient_id, sum(exp(l)) AS s, sum(exp(l) * y0) / sum(exp(l)) AS m0, sum(exp(l) * y1) / sum(exp(l)) AS m1 FROM scored GROUP BY ALL),
+  without AS (SELECT r.patient_id, r.region_id, sum(exp(l)) AS s, sum(exp(l) * y0) / sum(exp(l)) AS m0, sum(exp(l) * y1) / sum(exp(l)) AS m1
+    FROM regions r JOIN scored x ON x.patient_id = r.patient_id AND x.region_id <> r.region_id GROUP BY ALL)
+  SELECT r.patient_id, r.region_id, r.n_tiles, round((a.s - coalesce(w.s, 0)) / a.s, 6) AS share, unnest([0, 1]) AS pos,
+    unnest([round(1 / (1 + exp(-a.m0 - {HEAD_BIAS[0]})), 6), round(1 / (1 + exp(-a.m1 - {HEAD_BIAS[1]})), 6)]) AS score,
+    unnest([round(1 / (1 + exp(-w.m0 - {HEAD_BIAS[0]})), 6), round(1 / (1 + exp(-w.m1 - {HEAD_BIAS[1]})), 6)]) AS score_without
+  FROM regions r JOIN whole a USING (patient_id) LEFT JOIN without w ON w.patient_id = r.patient_id AND w.region_id = r.region_id"""
+
+
+@query("n7_dropout_influence", fx.with_sql(LEAVE_OUT, fx.TILES))
+def n7(spark, path):
+    tiles = fx.tiles(spark, path).withColumnRenamed("label", "region_id")
+    logit = F.aggregate(F.slice("features", 1, 4), F.lit(0.0), lambda s, x: s + x)
+    found = inf.dropout_influence(tiles.withColumn("logit", logit), HEAD, HEAD_BIAS, bag=["patient_id"], logit="logit")
+    pairs = F.posexplode(F.arrays_zip("score", F.coalesce("score_without", F.array(F.lit(None).cast("double"), F.lit(None).cast("double"))).alias("score_without")))
+    flat = found.select("patient_id", "region_id", "n_tiles", F.round("share", 6).alias("share"), pairs.alias("pos", "z"))
+    return flat.select("patient_id", "region_id", "n_tiles", "share", "pos", F.round("z.score", 6).alias("score"), F.round("z.score_without", 6).alias("score_without"))
+
+
+MAP_SQL = """,
+  places AS (SELECT slide_id, unnest([0, 4, 8, 12, 16, 20, 24, 28, 32, 36, 40]) AS r0 FROM (SELECT DISTINCT slide_id FROM cells) s),
+  weighed AS (SELECT p.slide_id, r0 * 100 + c0 AS patch_id, ((p.slide_id + r0 + 3 * c0) % 7 + 1) / 8.0::DOUBLE AS w, r0, c0
+    FROM (SELECT slide_id, r0, unnest([0, 4, 8, 12, 16, 20, 24, 28, 32, 36, 40]) AS c0 FROM places) p),
+  levels AS (SELECT c.slide_id, c.gx, c.gy, count(*) AS coverage, avg((c.f0 + c.f1) / 50 * w) AS v
+    FROM cells c JOIN weighed p ON p.slide_id = c.slide_id AND c.gx BETWEEN r0 AND r0 + 7 AND c.gy BETWEEN c0 AND c0 + 7 GROUP BY ALL)
+  SELECT slide_id, gx, gy, coverage, round(CASE WHEN sum(v) OVER (PARTITION BY slide_id) > 0 THEN v / sum(v) OVER (PARTITION BY slide_id) ELSE 0 END, 9) AS weight FROM levels"""
+
+
+@query("n8_attention_map", fx.with_sql(MAP_SQL, fx.LATTICE, CELLS))
+def n8(spark, path):
+    # patches of 8 x 8 cells, four apart: inner cells lie under four of them
+    cells = pt.coalesce_cells(fx.lattice(spark, path))
+    under = lambda c: F.explode(F.filter(F.sequence(F.lit(0), F.lit(40), F.lit(4)), lambda s: F.col(c).between(s, s + 7)))
+    placed = cells.withColumn("r0", under("gx")).withColumn("c0", under("gy")).withColumn("patch_id", F.col("r0") * 100 + F.col("c0"))
+    weighed = placed.withColumn("weight", (F.get("features", F.lit(0)) + F.get("features", F.lit(1))) / 50)
+    side = placed.select("slide_id", "patch_id", (((F.col("slide_id") + F.col("r0") + 3 * F.col("c0")) % 7 + 1) / 8.0).alias("weight")).distinct()
+    found = inf.attention_map(weighed, side)
+    return found.withColumn("weight", F.round("weight", 9))
