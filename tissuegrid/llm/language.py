@@ -11,14 +11,13 @@ The project has no multilingual record; the operator is general and runs on the
 from __future__ import annotations
 
 from dataclasses import dataclass
-from functools import lru_cache
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut
-from .texts import map_texts
+from .texts import map_texts, remembered
 
 WIDTH = 1024
 SLOTS = 128
@@ -34,7 +33,7 @@ class LanguageModel:
     profiles: np.ndarray
 
 
-@lru_cache(maxsize=1)
+@remembered
 def _letters() -> np.ndarray:
     """Slot of every code point: 0 for all but letters, a-z apart, other letters by remainder."""
     table = np.zeros(0x110000, np.uint8)
@@ -45,7 +44,7 @@ def _letters() -> np.ndarray:
     return table
 
 
-@lru_cache(maxsize=1)
+@remembered
 def _vectors() -> tuple[np.ndarray, np.ndarray]:
     """Bound vectors of the first two places, and the third place's."""
     letters = np.random.default_rng(20240229).choice(np.array([-1, 1], np.int8), (SLOTS, WIDTH))

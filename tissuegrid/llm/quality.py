@@ -19,7 +19,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .texts import labelled_sample, map_texts
+from .texts import bounded_sample, labelled_sample, map_texts
 
 FEATURES = (
     "log_bytes",
@@ -224,7 +224,7 @@ def fit_quality(
     """
     chosen = labelled_sample(labels, id_col, label_col, F.lit(True) if usable is None else usable, max_rows)
     texts = events.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
-    sample = texts.join(F.broadcast(chosen), "_id").select("_id", "_label", "_text")
+    sample = bounded_sample(texts, chosen, max_rows)
 
     def make():
         return lambda bodies: [[text_features(b) for b in bodies]]

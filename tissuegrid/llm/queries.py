@@ -108,7 +108,7 @@ def op6_toxicity(spark, sf_dir):
 @query
 def op7_repeats(spark, sf_dir):
     found = suffixes.remove_repeats(table(spark, sf_dir, "documents"), **DOC)
-    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"), "n_kept")
 
 
 @query

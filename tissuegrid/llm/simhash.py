@@ -19,7 +19,6 @@ text of log records or any other text column.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
 from itertools import combinations
 
 import numpy as np
@@ -30,7 +29,7 @@ from pyspark.sql import functions as F
 
 from ..functions.graph import star_components
 from ..session import cut
-from .texts import map_texts
+from .texts import map_texts, remembered
 from .tiles import Forest, groups, tiled
 
 SHINGLE = 4
@@ -68,7 +67,7 @@ def fingerprint_events(events: DataFrame, *, id_col: str = "event_id", text_col:
     return map_texts(events, [id_col], text_col, [("_fp", "long")], make)
 
 
-@lru_cache(maxsize=1)
+@remembered
 def pivots() -> np.ndarray:
     """Reference fingerprints: rows of the Walsh matrix, which stand 32 bits apart from each other."""
     at = np.arange(64)

@@ -23,17 +23,16 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import cut
-from .texts import bytes_of, map_texts
+from .texts import bytes_of, chunks, map_texts, remembered
 from .tiles import groups
 
 GRAM = 64
@@ -43,7 +42,7 @@ _LOW = (1 << 20) - 1
 _BASE = 0x9E3779B97F4A7C15
 
 
-@lru_cache(maxsize=1)
+@remembered
 def _tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Random odd value of each byte; powers of the base and of its inverse modulo 2**64."""
     values = np.random.default_rng(77).integers(0, 2**63, 256).astype(np.uint64) * np.uint64(2) + np.uint64(1)
@@ -176,7 +175,7 @@ def repeated_windows(texts: list[bytes], widths: np.ndarray, anchors: np.ndarray
 
 
 def remove_repeats(events: DataFrame, *, id_col: str = "event_id", text_col: str = "event", span: int = 400) -> DataFrame:
-    """``(id_col, n_bytes long, n_removed long, n_spans long, kept binary)``, one row per input row.
+    """``(id_col, n_bytes long, n_removed long, n_spans long, n_kept long, kept binary)``, one row per input row.
 
     Texts are UTF-8 bytes (null: empty); no match crosses texts. A byte is removed if it
     lies in a string of ``span`` bytes that also starts anywhere else, in the same text
@@ -273,21 +272,21 @@ def remove_repeats(events: DataFrame, *, id_col: str = "event_id", text_col: str
     )
 
     def strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in chunks(batches, 1):
             ids, bodies, cuts = batch.columns
-            out: list[list] = [[], [], [], []]
+            out: list[list] = [[], [], [], [], []]
             for body, spans_ in zip(bodies.to_pylist(), cuts.to_pylist(), strict=True):
                 gone = _union([(s["_from"], s["_to"]) for s in spans_ or ()])
                 edges = [0, *(x for s in gone for x in s), len(body)]
                 kept = b"".join(body[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True))
-                for o, x in zip(out, (len(body), len(body) - len(kept), len(gone), kept), strict=True):
+                for o, x in zip(out, (len(body), len(body) - len(kept), len(gone), len(kept), kept), strict=True):
                     o.append(x)
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary())
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
             arrays = [pa.array(o, k) for o, k in zip(out, kinds, strict=True)]
             yield pa.RecordBatch.from_arrays([ids, *arrays], names=result.names)
 
     result = T.StructType([T.StructField(id_col, rows.schema["_id"].dataType)])
-    for field, t in (("n_bytes", "long"), ("n_removed", "long"), ("n_spans", "long"), ("kept", "binary")):
+    for field, t in (("n_bytes", "long"), ("n_removed", "long"), ("n_spans", "long"), ("n_kept", "long"), ("kept", "binary")):
         result = result.add(field, t)
     return rows.join(spans, same, "left").select("_id", "_body", "_spans").mapInArrow(strip, result)
 
@@ -321,16 +320,18 @@ def _large_anchors(large: DataFrame, span: int, span_type: T.StructType) -> Data
                 s, low, high, n, g = (part.column(c).to_numpy().astype(np.int64) for c in ("s", "l", "h", "n", "g"))
                 owner, offset, (q0, q1, q2, q3) = _window_ranks(part.column("_text").to_pylist(), high - low + 1, span // 4)
                 rank = _pair(_pair(_pair(g.view(np.uint64)[owner], q0), q1), _pair(q2, q3))
+                other = _pair(_pair(q3, q1), _pair(q0, q2))
                 rows = pa.array(owner)
-                cols = [part.column("_id").take(rows), part.column("_t").take(rows)]
-                cols += [pa.array(x) for x in (rank.view(np.int64), (s[owner] + offset).astype(np.int32), n[owner])]
-                yield pa.RecordBatch.from_arrays(cols, names=["_id", "_t", "_rank", "_from", "n"])
+                cols = [part.column("_id").take(rows), part.column("_t").take(rows), part.column("g").take(rows)]
+                cols += [pa.array(x) for x in (rank.view(np.int64), other.view(np.int64), (s[owner] + offset).astype(np.int32), n[owner])]
+                yield pa.RecordBatch.from_arrays(cols, names=schema.names)
 
-    schema = T.StructType(span_type.fields[:2]).add("_rank", "long").add("_from", "integer").add("n", "long")
+    schema = T.StructType(span_type.fields[:2]).add("g", "long").add("_rank", "long").add("_other", "long").add("_from", "integer").add("n", "long")
     windows = cut(large.mapInArrow(explode, schema), "windows")
-    shared = windows.groupBy("_rank").agg(F.count("*").alias("_n")).where("_n > 1").select("_rank")
-    return (
-        windows.where("n = 1")
-        .join(shared, "_rank")
-        .select("_id", "_t", "_from", (F.col("_from") + span).alias("_to"))
-    )
+    same = ["g", "_rank", "_other"]
+    shared = windows.groupBy(*same).agg(F.count("*").alias("_n")).where("_n > 1").select(*same)
+    found = windows.where("n = 1").join(shared, same).select("_id", "_t", "_from").distinct()
+    # windows that follow each other are one span before a text's spans are collected
+    run = F.col("_from") - F.row_number().over(Window.partitionBy("_id", "_t").orderBy("_from"))
+    spans = found.withColumn("_run", run).groupBy("_id", "_t", "_run").agg(F.min("_from").alias("_from"), (F.max("_from") + span).alias("_to"))
+    return spans.select("_id", "_t", "_from", "_to")

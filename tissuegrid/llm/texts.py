@@ -8,7 +8,9 @@ whatever their names. A null text counts as empty unless an operator says otherw
 
 from __future__ import annotations
 
+import functools
 import re
+import sys
 from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
@@ -21,6 +23,24 @@ CHUNK_BYTES = 1 << 20
 LETTERS = re.compile(r"[^\W\d_]+")
 
 
+def remembered(make: Callable) -> Callable:
+    """``make`` with its results kept for the life of a process, by arguments.
+
+    Worker functions travel by value and must work where the package is not installed, so neither a wrapper that is
+    pickled by reference nor the tables themselves may be part of them: what is kept hangs on ``sys``.
+    """
+    name = f"{make.__module__}.{make.__qualname__}"
+
+    @functools.wraps(make)
+    def get(*args):
+        tables = sys.__dict__.setdefault("_tissuegrid_tables", {})
+        if (name, args) not in tables:
+            tables[name, args] = make(*args)
+        return tables[name, args]
+
+    return get
+
+
 def bytes_of(text: str) -> Column:
     """UTF-8 bytes of a text column, null as empty."""
     return F.coalesce(F.col(text).cast("binary"), F.lit(b"").cast("binary"))
@@ -92,6 +112,15 @@ def labelled_sample(
     )
 
 
+def bounded_sample(texts: DataFrame, chosen: DataFrame, max_rows: int) -> DataFrame:
+    """At most ``max_rows`` rows ``(_id, _label, _text)`` of ``texts`` ``(_id, _text)`` whose id is in ``chosen``.
+
+    Ids may repeat, so the bound holds after the join; the rows of least hash of id and text are kept.
+    """
+    joined = texts.join(F.broadcast(chosen), "_id")
+    return joined.orderBy(F.xxhash64("_id"), "_id", F.xxhash64("_text"), "_label").limit(max_rows).select("_id", "_label", "_text")
+
+
 def words_of(text: bytes) -> set[str]:
     """Distinct lower-case letter runs."""
     return set(LETTERS.findall(text.decode("utf-8", "replace").lower()))

@@ -21,12 +21,11 @@ from __future__ import annotations
 import base64
 import heapq
 import unicodedata
-from functools import lru_cache
 
 import numpy as np
 from pyspark.sql import DataFrame
 
-from .texts import map_texts
+from .texts import map_texts, remembered
 
 CACHE = 300_000
 # bytes up to which a slice is merged without a heap
@@ -43,7 +42,7 @@ END, IN_LETTER, IN_NUMBER, IN_OTHER, IN_SPACE, LED, TWO_LEFT, ONE_LEFT = range(8
 WHITE = [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 
 
-@lru_cache(maxsize=1)
+@remembered
 def _classes() -> np.ndarray:
     table = np.zeros(0x110000, np.uint8)
     for cp in range(0x110000):
@@ -81,7 +80,7 @@ def _step(state: int, symbol: int) -> tuple[int, bool]:
     return {S_SHORT: ONE_LEFT, S_LONG: TWO_LEFT, S_OTHER: IN_OTHER}[symbol], True
 
 
-@lru_cache(maxsize=1)
+@remembered
 def _automaton() -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Function of each symbol, composition table, value table, and starts by (state, symbol)."""
     n = 8
@@ -217,7 +216,7 @@ def _merge_short(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     return [ranks[piece[a:b]] for a, b in zip(ends, ends[1:])]
 
 
-@lru_cache(maxsize=2)
+@remembered
 def load_ranks(path: str) -> dict[bytes, int]:
     """Ranks of a vocabulary file that every worker has installed."""
     with open(path, "rb") as f:

@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut
-from .texts import labelled_sample, map_texts, words_of
+from .texts import bounded_sample, labelled_sample, map_texts, words_of
 
 REPEATS = (2, 4)
 DICT_BYTES = 8192
@@ -150,7 +150,7 @@ def fit_toxicity(
     usable = F.lit(True) if usable is None else usable
     chosen = labelled_sample(labels, id_col, label_col, usable, max_rows)
     texts = events.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
-    sample = cut(texts.join(F.broadcast(chosen), "_id").select("_label", "_text"), "toxic-sample")
+    sample = cut(bounded_sample(texts, chosen, max_rows).select("_label", "_text"), "toxic-sample")
 
     def split():
         def work(bodies):

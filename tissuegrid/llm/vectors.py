@@ -20,7 +20,6 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +29,7 @@ from pyspark.sql import types as T
 
 from ..functions.graph import star_components
 from ..session import cut
+from .texts import remembered
 from .tiles import Forest, groups, tiled
 
 TURN = 256
@@ -37,7 +37,7 @@ SURE = 6.0
 _PAIRS = 200_000
 
 
-@lru_cache(maxsize=4)
+@remembered
 def rotation(dim: int, turn: int) -> np.ndarray:
     """The first ``dim`` columns of the ``turn``-th random rotation, at least ``TURN`` bits wide."""
     width = max(TURN, -(-dim // 64) * 64)
