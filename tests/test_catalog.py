@@ -9,7 +9,8 @@ from tissuegrid.catalog import ORACLES, QUERIES
 
 PATH = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations"
-ROWS_ONLY: set[str] = set()
+# landmark attention: tests/test_landmarks.py, holes of wide masks: tests/test_wide_masks.py
+ROWS_ONLY = {"n5_landmark_attention", "r4_wide_all_fill_holes"}
 
 
 @pytest.fixture(scope="module")

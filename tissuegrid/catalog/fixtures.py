@@ -156,18 +156,14 @@ def wide(spark: SparkSession, path: str) -> DataFrame:
     ).distinct()
 
 
-# the same bars as a full mask, on the slides with a number divisible by ten
-WIDE_MASK = f"""wide_mask AS MATERIALIZED (
+# the same bars as a full mask
+WIDE_MASK_ALL = f"""wide_mask_all AS MATERIALIZED (
   SELECT g.slide_id, g.r, g.c, CASE WHEN w.r IS NULL THEN 0 ELSE 1 END AS v
-  FROM (SELECT slide_id, CAST(r AS INT) AS r, CAST(c AS INT) AS c FROM (SELECT DISTINCT slide_id FROM fx_wide WHERE slide_id % 10 = 0) s
+  FROM (SELECT slide_id, CAST(r AS INT) AS r, CAST(c AS INT) AS c FROM (SELECT DISTINCT slide_id FROM fx_wide) s
         CROSS JOIN range({WIDE_H}) AS tr(r) CROSS JOIN range({WIDE_W}) AS tc(c)) g
   LEFT JOIN fx_wide w ON w.slide_id = g.slide_id AND w.r = g.r AND w.c = g.c)"""
 
 
-# the same on every slide
-WIDE_MASK_ALL = WIDE_MASK.replace("wide_mask AS", "wide_mask_all AS").replace(" WHERE slide_id % 10 = 0", "")
-
-
 def _full_mask(cells: DataFrame) -> DataFrame:
     grid = (
         cells.select("slide_id").distinct()
@@ -177,10 +173,6 @@ def _full_mask(cells: DataFrame) -> DataFrame:
     return grid.join(cells.withColumn("v", F.lit(1)), ["slide_id", "r", "c"], "left").withColumn("v", F.coalesce("v", F.lit(0)))
 
 
-def wide_mask(spark: SparkSession, path: str) -> DataFrame:
-    return _full_mask(wide(spark, path).where(F.col("slide_id") % 10 == 0))
-
-
 def wide_mask_all(spark: SparkSession, path: str) -> DataFrame:
     return _full_mask(wide(spark, path))
 

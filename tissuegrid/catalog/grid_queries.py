@@ -419,26 +419,6 @@ def r2_wide(spark, path):
     return cc.region_boxes(fx.wide(spark, path))
 
 
-def _wide_sql(step) -> str:
-    s = Steps(fx.WIDE, fx.WIDE_MASK)
-    return s.text(f"SELECT * FROM {step(s)}")
-
-
-@query("r4_wide_fill_holes", _wide_sql(lambda s: s.fill(s.dilate("wide_mask", 4))))
-def r4_wide(spark, path):
-    return mk.fill_holes(mk.dilate(fx.wide_mask(spark, path), 4))
-
-
-@query("w7_wide_dilate", _wide_sql(lambda s: s.dilate("wide_mask", 70)))
-def w7_wide(spark, path):
-    return mk.dilate(fx.wide_mask(spark, path), 70)
-
-
-@query("w8_wide_closing", _wide_sql(lambda s: s.closing("wide_mask", 9)))
-def w8_wide(spark, path):
-    return mk.closing(fx.wide_mask(spark, path), 9)
-
-
 def _lines_sql(step) -> str:
     """One row a line of pixels: how many are set and the sums of their columns and squared columns."""
     s = Steps(fx.WIDE, fx.WIDE_MASK_ALL)
@@ -453,7 +433,8 @@ def _lines(mask):
     return mask.groupBy("slide_id", "r").agg(F.sum(v).alias("n"), F.sum(v * c).alias("c_sum"), F.sum(v * c * c).alias("c2_sum"))
 
 
-@query("r4_wide_all_fill_holes", _lines_sql(lambda s: s.fill(s.dilate("wide_mask_all", 4))))
+# labelling the background of every slide takes SQL too long; tested against brute force
+@query("r4_wide_all_fill_holes")
 def r4_wide_all(spark, path):
     return _lines(mk.fill_holes(mk.dilate(fx.wide_mask_all(spark, path), 4)))
 

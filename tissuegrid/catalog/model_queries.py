@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import attention as at
 from ..operators import influence as inf
+from ..operators import landmarks as lm
 from ..operators import patches as pt
 from ..operators import stencil as st
 from . import fixtures as fx
@@ -187,3 +188,70 @@ def n8(spark, path):
     side = placed.select("slide_id", "patch_id", (((F.col("slide_id") + F.col("r0") + 3 * F.col("c0")) % 7 + 1) / 8.0).alias("weight")).distinct()
     found = inf.attention_map(weighed, side)
     return found.withColumn("weight", F.round("weight", 9))
+
+
+# --- landmarks and inverses ----------------------------------------------------
+
+
+class Matrices:
+    """CTEs of matrices as rows ``(slide_id, h, i, j, v)``."""
+
+    def __init__(self):
+        self.parts: list[str] = []
+
+    def add(self, body: str) -> str:
+        self.parts.append(f"m{len(self.parts)} AS MATERIALIZED ({body})")
+        return f"m{len(self.parts) - 1}"
+
+    def product(self, a: str, b: str, by: float = 1.0) -> str:
+        return self.add(f"SELECT a.slide_id, a.h, a.i, b.j, {by!r} * sum(a.v * b.v) AS v FROM {a} a JOIN {b} b ON b.slide_id = a.slide_id AND b.h = a.h AND b.i = a.j GROUP BY ALL")
+
+    def less(self, n: int, a: str) -> str:
+        return self.add(f"SELECT slide_id, h, i, j, CASE WHEN i = j THEN {n} ELSE 0 END - v AS v FROM {a}")
+
+    def inverse(self, a: str, iterations: int) -> str:
+        size = self.add(
+            f"SELECT r.slide_id, r.h, max(r.s) * max(c.s) AS s FROM (SELECT slide_id, h, i, sum(abs(v)) AS s FROM {a} GROUP BY ALL) r "
+            f"JOIN (SELECT slide_id, h, j, sum(abs(v)) AS s FROM {a} GROUP BY ALL) c ON c.slide_id = r.slide_id AND c.h = r.h GROUP BY ALL"
+        )
+        z = self.add(f"SELECT a.slide_id, a.h, a.j AS i, a.i AS j, a.v / CASE WHEN s > 0 THEN s ELSE 1 END AS v FROM {a} a JOIN {size} s ON s.slide_id = a.slide_id AND s.h = a.h")
+        for _ in range(iterations):
+            az = self.product(a, z)
+            z = self.product(z, self.less(13, self.product(az, self.less(15, self.product(az, self.less(7, az))))), 0.25)
+        return z
+
+    def residual(self, a: str, z: str, by: str) -> str:
+        back = self.product(self.product(a, z), a)
+        return self.add(f"SELECT {by}, max(abs(b.v - a.v)) AS residual FROM {a} a JOIN {back} b USING (slide_id, h, i, j) GROUP BY ALL")
+
+
+def _inverse_sql() -> str:
+    m = Matrices()
+    a = m.add("SELECT slide_id, 0 AS h, gx % 3 AS i, gy % 3 AS j, sum(f0) / any_value(t) AS v FROM cells JOIN (SELECT slide_id, sum(f0) AS t FROM cells GROUP BY ALL) t USING (slide_id) GROUP BY ALL")
+    z = m.inverse(a, 12)
+    r = m.residual(a, z, "slide_id")
+    return fx.with_sql(f"SELECT slide_id, i, j, round(v, 4) + 0.0 AS value, round(residual, 6) + 0.0 AS residual FROM {z} JOIN {r} USING (slide_id)", fx.LATTICE, CELLS, *m.parts)
+
+
+@query("n6_pseudo_inverse", _inverse_sql())
+def n6(spark, path):
+    cells = pt.coalesce_cells(fx.lattice(spark, path))
+    at_place = lambda i, j: F.sum(F.when((F.col("gx") % 3 == i) & (F.col("gy") % 3 == j), F.get("features", F.lit(0))).otherwise(F.lit(0.0)))
+    whole = F.sum(F.get("features", F.lit(0)))
+    bags = cells.groupBy("slide_id").agg(F.array(*[at_place(i, j) / whole for i in range(3) for j in range(3)]).alias("matrix"))
+    found = lm.pseudo_inverses(bags, "matrix", iterations=12).select("slide_id", F.posexplode("inverse").alias("p", "v"), "residual")
+    return found.select(
+        "slide_id", F.floor(F.col("p") / 3).cast("int").alias("i"), (F.col("p") % 3).alias("j"), (F.round("v", 4) + 0.0).alias("value"), (F.round("residual", 6) + 0.0).alias("residual")
+    )
+
+
+MARKS = 4
+
+
+# the iterated inverse of every slide inside a join of all its tiles does not end in SQL; tested against plain matrices
+@query("n5_landmark_attention")
+def n5(spark, path):
+    cells = pt.coalesce_cells(fx.lattice(spark, path)).withColumn("live", F.exists("features", lambda x: x != 0))
+    found = lm.landmark_attention(cells, SELF, mask="live", landmarks=MARKS)
+    flat = found.select("slide_id", *[F.col(c).cast("int").alias(c) for c in ("gx", "gy")], F.posexplode("features").alias("pos", "value"))
+    return flat.withColumn("value", F.round("value", 5) + 0.0)

@@ -128,12 +128,14 @@ def attend(
     mask: str | None = None,
     query_shape: tuple[int, int] | None = None,
     key_shape: tuple[int, int] | None = None,
+    values: str | None = None,
 ) -> DataFrame:
     """``(*by, *token, features array<double>)``: the answer of every row of ``queries`` over the keys of its bag.
 
     A bag is a combination of ``by``, a token its place in it; ``by``, ``token`` and ``features`` are
     columns of both tables, the tokens whole numbers. Rows whose ``mask`` is false or null are no keys, and as queries
     they are answered with zeros; so is a query whose bag has no keys. A null vector counts as zeros.
+    ``values`` names a column of ``keys`` with ready values (C numbers), in place of the projection of its features.
     With relative tables ``token`` is a row and a column, ``query_shape`` and ``key_shape`` are the
     grids they lie on, and tables of another length than the grids need are interpolated.
 
@@ -151,13 +153,14 @@ def attend(
         lengths = [2 * max(a, b) - 1 for a, b in zip(query_shape, key_shape, strict=True)]
         tables = [relative_table(t, n) for t, n in zip((w.rel_rows, w.rel_cols), lengths, strict=True)]
 
-    def prepared(df: DataFrame) -> DataFrame:
+    def prepared(df: DataFrame, value: str | None = None) -> DataFrame:
         on = F.lit(True) if mask is None else F.coalesce(F.col(mask).cast("boolean"), F.lit(False))
         return df.select(
-            *key_hash(by), *by, *[F.col(c).cast("long").alias(c) for c in token], F.col(features).cast("array<double>").alias("_f"), on.alias("_on")
-        )
+            *key_hash(by), *by, *[F.col(c).cast("long").alias(c) for c in token], F.col(features).cast("array<double>").alias("_f"), on.alias("_on"),
+            (F.lit(None) if value is None else F.col(value)).cast("array<double>").alias("_v"),
+        )
 
-    asked, told = prepared(queries), prepared(keys).where("_on")
+    asked, told = prepared(queries), prepared(keys, values).where("_on")
     count = lambda df, name: df.groupBy("_g", "_h").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias(name))
     blocks = cut(count(asked.where("_on"), "_nq").join(count(told, "_nk"), ["_g", "_h"]), "attention-blocks")
     spread = lambda n: F.pmod(F.xxhash64(*token), F.col(n)).cast("int")
@@ -165,7 +168,7 @@ def attend(
     q_rows = asked.where("_on").join(blocks, ["_g", "_h"]).withColumns({"_qb": spread("_nq"), "_kb": others("_nk"), "_role": F.lit(0)})
     k_rows = told.join(blocks, ["_g", "_h"]).withColumns({"_kb": spread("_nk"), "_qb": others("_nq"), "_role": F.lit(1)})
     place = ["_g", "_h", "_qb", "_kb"]
-    columns = [*place, "_role", "_nk", *by, *token, "_f"]
+    columns = [*place, "_role", "_nk", *by, *token, "_f", "_v"]
     met = q_rows.select(columns).unionByName(k_rows.select(columns)).repartition(parts, *place).sortWithinPartitions(*place, "_role", *token)
     name = T.StructType([asked.schema[c] for c in (*by, *token)])
     state = T.StructType([*asked.select("_g", "_h").schema.fields, *name.fields])
@@ -179,7 +182,9 @@ def attend(
                 continue
             x = matrix(group.column("_f"), width)
             at = [group.column(c).to_numpy() for c in token]
-            q, k, v = _heads(x[:split], w.query, w.heads), _heads(x[split:], w.key, w.heads), _heads(x[split:], w.value, w.heads)
+            q, k = _heads(x[:split], w.query, w.heads), _heads(x[split:], w.key, w.heads)
+            given = group.slice(split)
+            v = _heads(x[split:], w.value, w.heads) if values is None else matrix(given.column("_v"), w.query.shape[1]).reshape(given.num_rows, w.heads, -1)
             bias = None
             if relative:
                 offsets = [relative_offsets(a[:split], a[split:], nq, nk) for a, nq, nk in zip(at, query_shape, key_shape, strict=True)]
@@ -218,7 +223,7 @@ def attend(
                 answer = vectors(_answer(total[None], held[None], w))
                 yield pa.RecordBatch.from_arrays([*[row.column(c).combine_chunks() for c in (*by, *token)], answer], names=merged_type.names)
 
-        merged_type = T.StructType(name.fields).add("features", T.ArrayType(T.DoubleType()))
+        merged_type = T.StructType([*name.fields]).add("features", T.ArrayType(T.DoubleType()))
         answered = states.where("_out IS NOT NULL").select(*result).unionByName(sorted_.mapInArrow(join, merged_type))
     else:
         answered = states.select(*result)
