@@ -1,6 +1,7 @@
 """Every registered query against its SQL on the smallest tables."""
 
 import math
+from pathlib import Path
 
 import duckdb
 import pytest
@@ -9,8 +10,8 @@ from tissuegrid.catalog import ORACLES, QUERIES
 
 PATH = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations"
-# landmark attention: tests/test_landmarks.py, holes of wide masks: tests/test_wide_masks.py
-ROWS_ONLY = {"n5_landmark_attention", "r4_wide_all_fill_holes"}
+# listing: below, landmark attention: tests/test_landmarks.py, holes of wide masks: tests/test_wide_masks.py
+ROWS_ONLY = {"n5_landmark_attention", "r4_wide_all_fill_holes", "s1_list_files"}
 
 
 @pytest.fixture(scope="module")
@@ -54,3 +55,8 @@ def test_listing(spark):
     from tissuegrid.sources.files import list_files
 
     assert list_files(spark, PATH, ".parquet").where("size > 0").count() == len(TABLES.split())
+
+
+def test_listing_query_names_every_file(spark):
+    found = {r["name"]: r["size"] for r in QUERIES["s1_list_files"](spark, PATH).collect()}
+    assert found == {f.name: f.stat().st_size for f in Path(PATH).glob("*.parquet")}

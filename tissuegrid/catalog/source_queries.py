@@ -286,3 +286,48 @@ def _event_stream(spark, path):
 def _shown_rates(rates):
     text = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(c)
     return rates.select(text("window_start"), text("window_end"), "event", "status", "n")
+
+
+# a user's events of five days are the outputs of a slide, their types the kinds of output
+SLIDE_OUTPUTS = """outputs AS MATERIALIZED (
+  SELECT concat(CAST(user_id AS VARCHAR), '-', CAST(day(ts) // 5 AS VARCHAR)) AS slide_id, event_type AS output, min(ts) AS ts FROM events GROUP BY ALL),
+  ranked AS (SELECT *, row_number() OVER (PARTITION BY slide_id ORDER BY ts, output) AS n, min(ts) OVER (PARTITION BY slide_id) + INTERVAL 60 HOURS AS last FROM outputs),
+  judged AS (SELECT slide_id, CAST(count(*) FILTER (ts <= last) AS INT) AS n_outputs, max(ts) AS reached, any_value(last) AS last FROM ranked WHERE n <= 4 GROUP BY slide_id),
+  verdicts AS (SELECT slide_id, CASE WHEN n_outputs = 4 THEN 'complete' ELSE 'quarantined' END AS status, n_outputs, CASE WHEN n_outputs = 4 THEN reached ELSE last END AS decided FROM judged)"""
+
+SHOWN = "SELECT slide_id, status, n_outputs, strftime(decided, '%Y-%m-%d %H:%M:%S') AS decided FROM verdicts"
+
+
+def _outputs(events):
+    ts = F.col("ts").cast("timestamp")
+    slide = F.concat(F.col("user_id").cast("string"), F.lit("-"), F.floor(F.dayofmonth("ts") / 5).cast("string"))
+    return events.select(slide.alias("slide_id"), F.col("event_type").alias("output"), ts.alias("ts"))
+
+
+def _decided(found):
+    return found.select("slide_id", "status", "n_outputs", F.date_format("at", "yyyy-MM-dd HH:mm:ss").alias("decided"))
+
+
+@query("x3_slide_completeness", fx.with_sql(SHOWN, SLIDE_OUTPUTS))
+def x3(spark, path):
+    found = jobs.slide_completeness(_outputs(fx.table(spark, path, "events")), wait="60 HOURS")
+    return _decided(found)
+
+
+@query(
+    "x3_slide_completeness_stream",
+    fx.with_sql(SHOWN + " WHERE floor(epoch_us(decided) / 1000) < floor(epoch_us((SELECT max(ts) FROM events) - INTERVAL 10 MINUTES) / 1000)", SLIDE_OUTPUTS),
+)
+def x3_stream(spark, path):
+    schema = fx.table(spark, path, "events").schema
+    events = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(path)
+    sink, state = scratch_path(spark, "complete"), scratch_path(spark, "state")
+    jobs.slide_completeness_stream(_outputs(events), sink, state, wait="60 HOURS")
+    return _decided(spark.read.parquet(sink))
+
+
+# what a folder holds is not in the tables, so that SQL has nothing to compare
+@query("s1_list_files")
+def s1(spark, path):
+    found = fs.list_files(spark, path, ".parquet")
+    return found.select(F.element_at(F.split("fkey", "/"), -1).alias("name"), "size")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -95,3 +95,104 @@ def latest_event_rates(spark: SparkSession, sink: str) -> DataFrame:
         .groupBy("window_start", "window_end", "event", "status")
         .agg(F.max("n").alias("n"))
     )
+
+
+# --- completeness of a slide's outputs -------------------------------------------
+
+COMPLETENESS = "slide_id string, status string, n_outputs int, at_us long"
+_STATE = "outputs array<string>, times array<long>, done boolean"
+
+
+def _verdict(times: list[int], expected: int, wait: int) -> tuple[str, int, int]:
+    """Status, number of outputs in time and moment of decision, from the first times of a slide's outputs."""
+    times = sorted(times)
+    deadline = times[0] + wait
+    in_time = sum(t <= deadline for t in times[:expected])
+    if in_time == expected:
+        return "complete", expected, times[expected - 1]
+    return "quarantined", in_time, deadline
+
+
+def slide_completeness(files: DataFrame, *, expected: int = 4, wait: str = "1 hour", until=None) -> DataFrame:
+    """``(slide_id, status, n_outputs int, at timestamp)`` of every slide of ``files`` ``(slide_id, output, ts)``.
+
+    A slide is complete at the moment its ``expected``-th distinct output is there, if that is within ``wait`` of
+    its first one, and quarantined at the end of the wait otherwise. ``until`` (a timestamp column or null) leaves
+    out what is decided at or after it, as a stream whose watermark stands there does. Null slides, outputs and
+    times are left out; repeated outputs count once.
+    """
+    given = files.where(F.col("slide_id").isNotNull() & F.col("output").isNotNull() & F.col("ts").isNotNull())
+    first = given.groupBy(F.col("slide_id").cast("string").alias("slide_id"), "output").agg(F.min("ts").alias("ts"))
+    # of each slide only the first outputs matter
+    rank = F.row_number().over(Window.partitionBy("slide_id").orderBy("ts", "output"))
+    kept = first.withColumn("_n", rank).where(F.col("_n") <= expected)
+    start = kept.groupBy("slide_id").agg((F.min("ts") + F.expr(f"INTERVAL {wait}")).alias("_end"))
+    judged = kept.join(start, "slide_id").groupBy("slide_id").agg(
+        F.count_if(F.col("ts") <= F.col("_end")).cast("int").alias("n_outputs"), F.max("ts").alias("_last"), F.first("_end").alias("_end")
+    )
+    whole = F.col("n_outputs") == expected
+    at = F.when(whole, F.col("_last")).otherwise(F.col("_end")).alias("at")
+    out = judged.select("slide_id", F.when(whole, "complete").otherwise("quarantined").alias("status"), "n_outputs", at)
+    # timers know milliseconds
+    return out if until is None else out.where(F.floor(F.unix_micros("at") / 1000) < F.floor(F.unix_micros(until) / 1000))
+
+
+def slide_completeness_stream(
+    files: DataFrame, sink: str, checkpoint: str, *, expected: int = 4, wait: str = "1 hour", watermark: str = "10 minutes", forget: str = "30 days"
+) -> None:
+    """Append each slide's row of ``slide_completeness`` once it can no longer change, until the source is drained.
+
+    The state of a slide is the first times of at most ``expected`` outputs and a timer. The timer stands at the moment of
+    decision and fires when the watermark has passed it, so rows that come out of order within the
+    watermark change nothing. A decided slide is remembered for ``forget`` of event time, so that it is not reported
+    twice. After a restart the stream goes on from the checkpoint; how its input is cut into batches
+    does not change the rows, so long as nothing is later than the watermark.
+    """
+    spark = files.sparkSession
+    wait_us, forget_us = (_micros(spark, x) for x in (wait, forget))
+
+    def update(key, frames, state):
+        import pandas as pd
+
+        held, done = {}, False
+        if state.exists:
+            outputs, times, done = state.get
+            held = dict(zip(outputs, times))
+        if state.hasTimedOut and done:
+            state.remove()
+            return
+        for frame in frames:
+            if not done:
+                for output, us in zip(frame["output"], frame["_us"]):
+                    held[output] = min(int(us), held.get(output, int(us)))
+        if done:
+            return
+        held = dict(sorted(held.items(), key=lambda x: (x[1], x[0]))[:expected])
+        status, n, at = _verdict(list(held.values()), expected, wait_us)
+        if at // 1000 < state.getCurrentWatermarkMs():
+            state.update((list(held), list(held.values()), True))
+            state.setTimeoutTimestamp(max(at + forget_us, state.getCurrentWatermarkMs() * 1000 + 1000) // 1000 + 1)
+            yield pd.DataFrame({"slide_id": [key[0]], "status": [status], "n_outputs": [n], "at_us": [at]})
+        else:
+            state.update((list(held), list(held.values()), False))
+            state.setTimeoutTimestamp(max(at // 1000, state.getCurrentWatermarkMs() + 1))
+
+    given = files.where(F.col("slide_id").isNotNull() & F.col("output").isNotNull() & F.col("ts").isNotNull())
+    timed = given.select(F.col("slide_id").cast("string").alias("slide_id"), "output", "ts", F.unix_micros("ts").alias("_us"))
+    judged = timed.withWatermark("ts", watermark).groupBy("slide_id").applyInPandasWithState(update, COMPLETENESS, _STATE, "append", "EventTimeTimeout")
+    query = (
+        judged.select("slide_id", "status", "n_outputs", F.timestamp_micros("at_us").alias("at"))
+        .writeStream.outputMode("append")
+        .format("parquet")
+        .option("path", sink)
+        .option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True)
+        .start()
+    )
+    query.awaitTermination()
+
+
+def _micros(spark: SparkSession, interval: str) -> int:
+    """Microseconds of an interval."""
+    moved = spark.range(1).select(F.unix_micros(F.timestamp_micros(F.lit(0).cast("long")) + F.expr(f"INTERVAL {interval}")))
+    return moved.first()[0]
