@@ -10,8 +10,8 @@ from tissuegrid.catalog import ORACLES, QUERIES
 
 PATH = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations"
-# listing: below, landmark attention: tests/test_landmarks.py, holes of wide masks: tests/test_wide_masks.py
-ROWS_ONLY = {"n5_landmark_attention", "r4_wide_all_fill_holes", "s1_list_files"}
+# listing: below, landmark attention: tests/test_landmarks.py, fitting: tests/test_fitting.py, holes of wide masks: tests/test_wide_masks.py
+ROWS_ONLY = {"n5_landmark_attention", "n9_fit_head", "r4_wide_all_fill_holes", "s1_list_files"}
 
 
 @pytest.fixture(scope="module")

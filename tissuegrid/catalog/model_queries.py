@@ -10,6 +10,7 @@ from ..operators import influence as inf
 from ..operators import landmarks as lm
 from ..operators import patches as pt
 from ..operators import stencil as st
+from ..plans import fitting as ft
 from . import fixtures as fx
 from .registry import query
 
@@ -255,3 +256,14 @@ def n5(spark, path):
     found = lm.landmark_attention(cells, SELF, mask="live", landmarks=MARKS)
     flat = found.select("slide_id", *[F.col(c).cast("int").alias(c) for c in ("gx", "gy")], F.posexplode("features").alias("pos", "value"))
     return flat.withColumn("value", F.round("value", 5) + 0.0)
+
+
+# --- fitting -------------------------------------------------------------------
+
+
+# gradient descent is tested against a plain one
+@query("n9_fit_head")
+def n9(spark, path):
+    tiles = fx.tiles(spark, path)
+    labels = tiles.select("patient_id", (F.col("patient_id") % 2).alias("label"), (F.col("patient_id") % 5 != 0).alias("learn")).distinct()
+    return ft.fit_head(tiles, labels, ft.FitParams(epochs=5)).select("epoch", "train_loss", "val_loss", "rate")
