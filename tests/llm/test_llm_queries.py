@@ -9,15 +9,20 @@ from tissuegrid.llm.queries import ORACLES, QUERIES
 PATH = "/root/testdata/sf0.001"
 
 
+# queries with a row for something else than a row of their table
+OTHER_ROWS = {"op11_chat", "op12_spellings"}
+
+
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query_returns_every_row(spark, name):
     source = "embeddings" if name.startswith("op8") else "documents"
     got = QUERIES[name](spark, PATH)
     rows = got.collect()
-    assert len(rows) == spark.read.parquet(f"{PATH}/{source}.parquet").count()
+    assert name in OTHER_ROWS or len(rows) == spark.read.parquet(f"{PATH}/{source}.parquet").count()
     if name in ORACLES:
         con = duckdb.connect()
-        con.execute(f"CREATE VIEW documents AS SELECT * FROM '{PATH}/documents.parquet'")
+        for table in ("documents", "benchmark", "conversations"):
+            con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{PATH}/{table}.parquet'")
         result = con.execute(ORACLES[name])
         names = [c[0] for c in result.description]
         assert sorted(map(str, (tuple(r[n] for n in names) for r in rows))) == sorted(map(str, result.fetchall()))
