@@ -153,7 +153,9 @@ def test_lines_equal_brute_force(spark, min_sites):
     rows.append((400, None, "a"))
     got = lines.remove_boilerplate(events(spark, rows), min_sites=min_sites)
     found = {r["event_id"]: (r["n_lines"], r["n_removed"], r["kept"]) for r in got.collect()}
-    assert found == plain_lines(rows, min_sites, 3)
+    assert found == plain_lines(rows, min_sites, 1)
+    three = lines.remove_boilerplate(events(spark, rows), min_sites=min_sites, min_words=3).collect()
+    assert {r["event_id"]: (r["n_lines"], r["n_removed"], r["kept"]) for r in three} == plain_lines(rows, min_sites, 3)
     assert any(v[1] for v in found.values())
 
 

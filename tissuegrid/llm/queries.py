@@ -54,7 +54,7 @@ WITH cut AS (
   SELECT doc_id, source, unnest(parts) AS line, generate_subscripts(parts, 1) AS pos FROM cut
 ), keyed AS (
   SELECT *, trim(line, ' ' || chr(9) || chr(11) || chr(12) || chr(13)) AS key,
-         len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) >= 3 AS counts FROM flat
+         len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) >= 1 AS counts FROM flat
 ), spread AS (
   SELECT key, min(doc_id) AS first FROM keyed WHERE counts GROUP BY key HAVING count(DISTINCT source) >= 10
 ), marked AS (

@@ -351,6 +351,8 @@ def round_trip_events(
     """Encode and decode in one pass: ``(id_col, n_tokens long, ids binary, decoded binary)``.
 
     With ``compare`` the last column is ``round_trip boolean`` instead, whether the decoded bytes are the text's.
+    One row per input row, repeated ones too; null and empty texts have no tokens and come back empty. An empty
+    table has no rows.
     """
 
     def make():
