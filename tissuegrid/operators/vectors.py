@@ -165,7 +165,9 @@ def nearest_to_centers(
             bound = np.partition(rough, take - 1, axis=0)[take - 1]
             row, col = np.nonzero(rough <= bound + 1e-6 * (1 + np.abs(bound)))
             exact = np.sqrt(((x[row] - c[col]) ** 2).sum(axis=1))
-            found.append(pd.DataFrame({center_id: ids[at + col], vec_id: keys[row], "distance": exact}))
+            # ties at the bound go by id, so that a block of equal vectors gives k rows as well
+            near = pd.DataFrame({center_id: ids[at + col], vec_id: keys[row], "distance": exact}).sort_values(["distance", vec_id])
+            found.append(near.groupby(center_id, sort=False, dropna=False).head(k))
         return pd.concat(found)
 
     met = left.groupBy("_block", "_piece").cogroup(right.groupBy("_block", "_piece")).applyInPandas(best, schema)
