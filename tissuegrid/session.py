@@ -52,3 +52,10 @@ def drop_cut(df: DataFrame) -> None:
         if "/tissuegrid/" in folder:
             path = spark._jvm.org.apache.hadoop.fs.Path(folder)
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def release(spark: SparkSession) -> None:
+    """Delete all tables that ``cut`` has stored for this application; call it once the results that read them are written."""
+    folder = f"{checkpoint_dir(spark)}/tissuegrid/{spark.sparkContext.applicationId}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
